@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import sys
-import unicodedata
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Blank characters that separate words.
 BLANKS = r"[ \t\n\x0B\f\r]"
@@ -27,57 +25,40 @@ def squeezed(name: Column) -> Column:
     return F.replace(name, F.lit(" "), F.lit(""))
 
 
-@functools.cache
-def _folding_table() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decomposition of every code point, ASCII part only.
+def _decomposer():
+    """Compatibility decomposition, ASCII part only, a whole Arrow batch at a time.
 
-    Returns the characters that become one character, what they become, and those that
-    become several. Characters absent from both have no ASCII part.
+    Defined in place so that it travels with the plan and executors need no copy of this package.
     """
-    single, plain, several = [], [], {}
-    for code in range(128, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        char = chr(code)
-        ascii_part = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-        if len(ascii_part) == 1:
-            single.append(char)
-            plain.append(ascii_part)
-        elif ascii_part:
-            several[char] = ascii_part
-    return "".join(single), "".join(plain), several
+
+    def decomposed(text: pd.Series) -> pd.Series:
+        return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+    return F.pandas_udf(decomposed, T.StringType())
 
 
 def ascii_folded(text: Column) -> Column:
     """Accents and compatibility forms to plain ASCII; what has no ASCII form is dropped.
 
-    All in the JVM. Plain ASCII text is passed through, one-to-one characters are translated,
-    and only text holding a character that expands (a ligature, a fraction) takes the slow way.
+    Spark has no Unicode decomposition, so this one step is Python. Plain ASCII text is passed
+    through: only the other rows' text is sent to it.
     """
-    single, plain, several = _folding_table()
-    expanding = "[" + "".join(several) + "]"
-    table = F.create_map(*(F.lit(part) for pair in several.items() for part in pair))
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    not_ascii = r"[^\x00-\x7F]"
+    foreign = text.rlike(r"[^\x00-\x7F]")
+    return F.when(~foreign, text).otherwise(_decomposer()(F.when(foreign, text)))
 
-    def finish(column: Column) -> Column:
-        return F.regexp_replace(F.translate(column, single, plain), not_ascii, "")
 
-    return (
-        F.when(~text.rlike(not_ascii), text)
-        .when(text.rlike(expanding), finish(expanded))
-        .otherwise(finish(text))
-    )
+def split_words(text: Column, keep_blank: bool = False) -> Column:
+    """Lower-case words, with a blank one where the text starts or ends with a separator.
 
-
-def words(text: Column, keep_blank: bool = False) -> Column:
-    """Lower-case words. Without blanks the list holds no empty word.
-
-    ``keep_blank`` splits at every single blank and drops only trailing empty words.
+    ``keep_blank`` splits at every single separator and drops only trailing blank words.
     """
     low = F.lower(text)
     if keep_blank:
         return F.split(F.regexp_replace(low, BLANKS + "+$", ""), BLANKS)
-    return F.filter(F.split(low, BLANKS + "+"), lambda word: word != "")
+    return F.split(low, BLANKS + "+")
+
+
+def words(text: Column, keep_blank: bool = False) -> Column:
+    """The word list of a text; without ``keep_blank`` no word in it is blank."""
+    split = split_words(text, keep_blank)
+    return split if keep_blank else F.filter(split, lambda word: word != "")
