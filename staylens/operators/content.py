@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions import text
@@ -57,7 +57,7 @@ def term_frequency(content: DataFrame, keep_blank: bool = False) -> DataFrame:
     return tokens.groupBy("item", "feature").agg(F.count("*").alias("tf"))
 
 
-def _item_count(content: DataFrame):
+def _item_count(content: DataFrame) -> Column:
     return content.agg(F.count("*").alias("items")).scalar()
 
 
@@ -115,44 +115,56 @@ def feature_pivot(
 
 def feature_vectors(wide: DataFrame, values: Sequence[str]) -> DataFrame:
     """The columns of a pivot as one Spark ML vector per feature."""
-    from pyspark.ml.feature import VectorAssembler
-
     assembler = VectorAssembler(inputCols=list(values), outputCol="vector")
     return assembler.transform(wide).select("feature", "vector")
 
 
-def _sparse(column: str):
-    return F.unwrap_udt(F.col(column))
-
-
 def feature_index(features: DataFrame, buckets: int = HASH_BUCKETS) -> DataFrame:
     """Add ``index``, the hash bucket of each feature."""
     hashing = HashingTF(inputCol="one", outputCol="hashed", numFeatures=buckets)
     hashed = hashing.transform(features.withColumn("one", F.array("feature")))
-    index = F.get(_sparse("hashed")["indices"], F.lit(0))
+    index = F.get(F.unwrap_udt(F.col("hashed"))["indices"], F.lit(0))
     return hashed.withColumn("index", index).drop("one", "hashed")
 
 
+def hashed_vectors(
+    content: DataFrame, buckets: int = HASH_BUCKETS, keep_blank: bool = False
+) -> tuple[DataFrame, IDFModel]:
+    """(item, features): one Spark ML vector of hashed weights per item, and the fitted weights."""
+    listed = content.select("item", text.words(F.col("text"), keep_blank).alias("words"))
+    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=buckets).transform(listed)
+    model = IDF(inputCol="counts", outputCol="features").fit(counts)
+    return model.transform(counts).select("item", "features"), model
+
+
 def hashed_tfidf(
     content: DataFrame, buckets: int = HASH_BUCKETS, keep_blank: bool = False
 ) -> DataFrame:
-    """(item, feature, index, value) from hashed term counts.
+    """(item, feature, index, value): the weight of each feature's hash bucket in its item.
 
-    Features are matched to values by item and bucket; features that share a bucket share its
-    value.
+    Features of an item that share a bucket share its value, as in ``hashed_vectors``, but each
+    stays matched to its own bucket. Bucket weights are at most ``buckets`` rows.
     """
-    listed = content.select("item", text.words(F.col("text"), keep_blank).alias("words"))
-    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=buckets).transform(listed)
-    model = IDF(inputCol="counts", outputCol="weights").fit(counts)
-    pair = F.explode(F.arrays_zip(_sparse("weights")["indices"], _sparse("weights")["values"]))
-    values = (
-        model.transform(counts)
-        .select("item", pair.alias("pair"))
-        .select("item", F.col("pair.indices").alias("index"), F.col("pair.values").alias("value"))
+    indexed = feature_index(term_frequency(content, keep_blank), buckets)
+    together = Window.partitionBy("item", "index")
+    grouped = indexed.select(
+        "item",
+        "feature",
+        "index",
+        F.sum("tf").over(together).alias("n"),
+        (F.min("feature").over(together) == F.col("feature")).alias("first"),
+    )
+    # One feature stands for its bucket in each item. Asking for n as well keeps the columns of
+    # this branch equal to those of the other, so that both read one shuffle.
+    stands = F.sum(F.when(F.col("first") & (F.col("n") > 0), 1).otherwise(0)).alias("df")
+    weights = (
+        grouped.groupBy("index")
+        .agg(stands)
+        .withColumn("items", _item_count(content))
+        .select("index", F.log((F.col("items") + 1) / (F.col("df") + 1)).alias("weight"))
     )
-    once = listed.select("item", F.explode(F.array_distinct("words")).alias("feature"))
-    return (
-        feature_index(once, buckets)
-        .join(values, ["item", "index"])
-        .select("item", "feature", "index", "value")
+    if buckets <= HASH_BUCKETS:
+        weights = F.broadcast(weights)
+    return grouped.join(weights, "index").select(
+        "item", "feature", "index", (F.col("n") * F.col("weight")).alias("value")
     )

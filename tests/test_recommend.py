@@ -165,6 +165,21 @@ def test_hashed_weights_follow_exact_ones(texts):
     assert {r["index"] for r in tight} == {0} and len(tight) == 4
 
 
+def test_hashed_weights_follow_the_vectors(spark):
+    """Few buckets, so that features collide; every weight must be that of the ML vector."""
+    docs = spark.range(60).select(
+        F.col("id").alias("item"),
+        F.concat_ws(" ", *(F.concat(F.lit("w"), ((F.col("id") * k) % 23).cast("string")) for k in (1, 2, 3, 5))).alias("text"),
+    )
+    vectors, model = content.hashed_vectors(docs, buckets=8)
+    expected = {r["item"]: r["features"].toArray() for r in vectors.collect()}
+    found = content.hashed_tfidf(docs, buckets=8).collect()
+    assert len(found) == content.term_frequency(docs).count()
+    for row in found:
+        assert row["value"] == pytest.approx(expected[row["item"]][row["index"]])
+    assert model.numDocs == 60
+
+
 def test_feature_index_matches_the_hash_of_spark(spark):
     from pyspark.ml.feature import HashingTF
 
