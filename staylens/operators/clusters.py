@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from staylens.functions.numbers import distance, squared_distance
 from staylens.operators.cleaning import fill_numeric, numeric_cast
+from staylens.operators.joins import BROADCAST_BYTES, ROW_OVERHEAD
 from staylens.operators.scaling import scaled_names, zscore
 
 # The columns hotels are compared by.
@@ -32,9 +33,6 @@ CLUSTER_FEATURES = [
 DEFAULT_K = 35_000
 MAX_ITERATIONS = 15
 
-# Centres are broadcast only while they are known to be smaller than this.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def cluster_matrix(support: DataFrame) -> DataFrame:
     """One numeric row per hotel, nulls 0, the id kept and never cast."""
@@ -94,7 +92,8 @@ def cluster_cost(
     ``k`` is the number of centres if known: it sets the size of the table, and a table that is
     small enough is sent to every task. Otherwise the join is left to Spark.
     """
-    small = k is not None and k * (len(columns) + 1) * 8 <= BROADCAST_BYTES
+    width = ROW_OVERHEAD + 8 * (len(columns) + 1)
+    small = k is not None and k * width <= BROADCAST_BYTES
     lookup = F.broadcast(centres) if small else centres
     here = [F.col(c).cast("double") for c in columns]
     there = [F.col(f"c_{c}") for c in columns]

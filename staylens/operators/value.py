@@ -20,11 +20,12 @@ def matrix_features(kind: str) -> list[str]:
 def search_support_join(searches: DataFrame, support: DataFrame) -> DataFrame:
     """Search features with what is known about their hotel.
 
-    One equi-join. Spark broadcasts the hotel side when its size allows; otherwise searches
+    One equi-join. A support table found small may be passed with a broadcast hint (see
+    ``joins``), and Spark broadcasts one it knows to be small by itself; otherwise searches
     shuffle by hotel and the run-time skew split divides a hot hotel. Nothing after it needs the
     rows grouped by hotel, so that split is always free to act.
     """
-    return searches.join(support.select(*SUPPORT_COLUMNS), "hotel_id", "inner")
+    return searches.join(support, "hotel_id", "inner").select(*searches.columns, *HOTEL_SIDE)
 
 
 def score_matrix(searches: DataFrame, support: DataFrame) -> DataFrame:
@@ -68,13 +69,17 @@ def gooddeal(mean: Column, price: Column) -> Column:
     return F.when(mean >= price, 1).otherwise(0)
 
 
-def value_label(leads: DataFrame, hotels: DataFrame) -> DataFrame:
+def value_label(leads: DataFrame, hotels: DataFrame, hotels_fit: bool = False) -> DataFrame:
     """Each lead with its cluster's mean price and the label ``gooddeal``.
 
     The mean travels on the hotel row. Leads are joined once, by hotel, and never grouped by
     cluster: a cluster holding a third of all leads is no larger a group than any other.
+    ``hotels_fit`` says that the hotels were found small enough to broadcast, which saves the
+    shuffle of leads.
     """
     priced = hotels.join(cluster_mean(leads, hotels), "cluster_id")
+    if hotels_fit:
+        priced = F.broadcast(priced)
     return (
         leads.join(priced, "hotel_id")
         .withColumn("gooddeal", gooddeal(F.col("meanUSD"), F.col("effUSD")))

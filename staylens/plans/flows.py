@@ -13,7 +13,8 @@ from staylens.operators import clusters, forest, value
 from staylens.operators.affinity import user_feature_affinity
 from staylens.operators.cleaning import hash_split
 from staylens.operators.content import tfidf_long
-from staylens.operators.hotels import support_table
+from staylens.operators.hotels import SUPPORT_COLUMNS, support_table
+from staylens.operators.joins import broadcast_if_small, fits_broadcast
 from staylens.operators.recommender import complete_ratings
 from staylens.operators.scaling import scaled_names
 from staylens.operators.stays import LEAD, SEARCH, lead_features, search_features
@@ -53,8 +54,9 @@ def train_value_model(
     """Support table, clusters, labels, then a forest on 70 % of all leads."""
     support = staged(support_table(places, hotels), "support")
     means, assigned = hotel_clusters(support, k, seed, axis)
-    grouped = value.clustered_hotels(support, assigned)
-    labelled = value.value_label(lead_features(leads), grouped)
+    grouped = staged(value.clustered_hotels(support, assigned), "clustered-hotels")
+    small = fits_broadcast(grouped, extra_columns=1)
+    labelled = value.value_label(lead_features(leads), grouped, hotels_fit=small)
     matrix = staged(
         hash_split(value.train_matrix(labelled), ["lead_id"], 0.7, seed), "train-matrix"
     )
@@ -64,8 +66,12 @@ def train_value_model(
 
 
 def score_searches(searches: DataFrame, support: DataFrame, model: PipelineModel) -> DataFrame:
-    """Every search with a known hotel: prediction 1 for great value, 0 for not, ids kept."""
-    matrix = value.score_matrix(search_features(searches), support)
+    """Every search with a known hotel: prediction 1 for great value, 0 for not, ids kept.
+
+    ``support`` is a written table; it is broadcast if its counted rows are few enough.
+    """
+    known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
+    matrix = value.score_matrix(search_features(searches), known)
     return forest.score(model, matrix, SEARCH)
 
 

@@ -10,6 +10,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from staylens.operators import forest, value
+from staylens.operators.hotels import SUPPORT_COLUMNS
+from staylens.operators.joins import broadcast_if_small
 from staylens.operators.stays import SEARCH, search_features
 
 
@@ -22,5 +24,6 @@ def score_stream(
 ) -> DataFrame:
     """Scores of a stream of searches; a search id seen again within ``delay`` is ignored."""
     once = searches.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["search_id"])
-    matrix = value.score_matrix(search_features(once, dedupe=False), support)
+    known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
+    matrix = value.score_matrix(search_features(once, dedupe=False), known)
     return forest.score(model, matrix, SEARCH)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.operators import ratings, stays, value
+from staylens.operators import joins, ratings, stays, value
 from staylens.operators.affinity import user_feature_affinity
 from staylens.plans.catalogue import ORACLES, QUERIES
 from staylens.session import fresh_path
@@ -148,6 +148,16 @@ def test_hot_item_is_divided_in_the_affinity(spark):
         assert found.agg(F.sum("affinity")).first()[0] == 40_000.0
 
 
+def test_broadcast_is_checked_and_has_another_way(spark):
+    hotels = known_hotels(spark)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=-1):
+        fitting = joins.broadcast_if_small(hotels)
+        assert "BroadcastHashJoin" in plan_of(value.search_support_join(hot_searches(spark), fitting))
+        large = joins.broadcast_if_small(hotels, limit=997 * 8)
+        assert "SortMergeJoin" in plan_of(value.search_support_join(hot_searches(spark), large))
+    assert not joins.fits_broadcast(spark.createDataFrame([("text",)], "t string"))
+
+
 def test_rank_limit_acts_before_the_shuffle(spark):
     plan = plan_of(ratings.top_k_items(standins.ratings(spark, FOLDER), 3))
     assert plan.index("Window [") < plan.index("WindowGroupLimit")
