@@ -64,18 +64,17 @@ def rmse(spark, folder):
     "rated_plus_predicted",
     f"""WITH {parts.pairs(NUM_USERS)},
 guess AS (SELECT item, avg(rating) AS prediction FROM rated GROUP BY item)
-SELECT "user", item, round(rating, 6) AS rating, 'rated' AS source
+SELECT "user", item, rating, 'rated' AS source
 FROM rated WHERE "user" <= {NUM_USERS}
 UNION ALL
-SELECT "user", item, round(prediction, 6) AS rating, 'predicted' AS source
+SELECT "user", item, round(prediction, 4) AS rating, 'predicted' AS source
 FROM unrated JOIN guess USING (item)""",
 )
 def rated_plus_predicted(spark, folder):
     rated = _ratings(spark, folder)
     pairs = ops.unrated_pairs(ops.user_item_pairs(rated, NUM_USERS), rated)
-    guesses = pairs.join(ops.item_means(rated), "item")
-    both = ops.rated_plus_predicted(ops.user_subset(rated, NUM_USERS), guesses)
-    return rounded(both, 6, "rating")
+    guesses = rounded(pairs.join(ops.item_means(rated), "item"), 4, "prediction")
+    return ops.rated_plus_predicted(ops.user_subset(rated, NUM_USERS), guesses)
 
 
 @query(
