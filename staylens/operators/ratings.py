@@ -25,10 +25,13 @@ def user_item_pairs(ratings: DataFrame, num_users: int) -> DataFrame:
     """Users 1..``num_users``, each with every item.
 
     The users are a range given by the caller, not a table, so each item row is expanded in
-    place: no join, and the rows grow with the catalogue only.
+    place: no join, and the rows grow with the catalogue only. The item list is short where the
+    pairs are many, so it is spread over all tasks before it expands.
     """
+    tasks = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     users = F.sequence(F.lit(1).cast("long"), F.lit(num_users).cast("long"))
-    return distinct_items(ratings).select(F.explode(users).alias("user"), "item")
+    items = distinct_items(ratings).repartition(tasks, "item")
+    return items.select(F.explode(users).alias("user"), "item")
 
 
 def unrated_pairs(pairs: DataFrame, ratings: DataFrame) -> DataFrame:

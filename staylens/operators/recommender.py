@@ -106,10 +106,14 @@ def search_rank(
     return RankSearch(spark.createDataFrame(rows, schema), best, best_rank)
 
 
+def completed(ratings: DataFrame, model: ALSModel, num_users: int) -> DataFrame:
+    """Known ratings of users 1..``num_users`` and predictions for all their other items."""
+    pairs = unrated_pairs(user_item_pairs(ratings, num_users), ratings)
+    return rated_plus_predicted(user_subset(ratings, num_users), predict(model, pairs))
+
+
 def complete_ratings(
     ratings: DataFrame, model: ALSModel, num_users: int, limit: int | None = None
 ) -> DataFrame:
-    """Known ratings of users 1..``num_users`` and predictions for all their other items."""
-    pairs = unrated_pairs(user_item_pairs(ratings, num_users), ratings)
-    known = user_subset(ratings, num_users)
-    return sorted_limit(rated_plus_predicted(known, predict(model, pairs)), limit)
+    """The same without incomplete rows, sorted by user and item, cut to ``limit`` if given."""
+    return sorted_limit(completed(ratings, model, num_users), limit)

@@ -15,7 +15,7 @@ from staylens.operators.cleaning import hash_split
 from staylens.operators.content import tfidf_long
 from staylens.operators.hotels import SUPPORT_COLUMNS, support_table
 from staylens.operators.joins import broadcast_if_small, fits_broadcast
-from staylens.operators.recommender import complete_ratings
+from staylens.operators.recommender import completed
 from staylens.operators.scaling import scaled_names
 from staylens.operators.stays import LEAD, SEARCH, lead_features, search_features
 from staylens.session import staged
@@ -77,5 +77,4 @@ def score_searches(searches: DataFrame, support: DataFrame, model: PipelineModel
 
 def recommend_features(ratings: DataFrame, content: DataFrame, model, num_users: int) -> DataFrame:
     """Affinity of users 1..``num_users`` to features, from known and predicted ratings."""
-    completed = complete_ratings(ratings, model, num_users)
-    return user_feature_affinity(completed, tfidf_long(content))
+    return user_feature_affinity(completed(ratings, model, num_users), tfidf_long(content))

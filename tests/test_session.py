@@ -1,0 +1,46 @@
+"""Where written tables go."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from staylens.session import fresh_path, shared_folder, staged
+
+
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def session(master, setting=None, folder=None):
+    conf = SimpleNamespace(get=lambda key, default: setting)
+    return SimpleNamespace(conf=conf, sparkContext=Context(master, folder))
+
+
+def test_the_named_folder_is_used():
+    named = session("spark://host", setting="/shared/work/")
+    assert shared_folder(named) == "/shared/work"
+    assert named.sparkContext.folder == "/shared/work/"
+
+
+def test_a_cluster_without_a_folder_is_refused():
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn"))
+
+
+def test_a_local_session_makes_its_own_once():
+    local = session("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+
+
+def test_staged_tables_hold_the_same_rows(spark):
+    df = spark.range(10).withColumnRenamed("id", "n")
+    table = staged(df, "numbers")
+    assert table.schema.names == ["n"] and table.exceptAll(df).isEmpty() and table.count() == 10
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
