@@ -17,9 +17,8 @@ from staylens.functions import text
 NAME_COLUMNS = ("director", "actor3", "actor1")
 HASH_BUCKETS = 1 << 18
 
-# A term in at least this share of the items counts as common. With n distinct terms in a mean
-# item there are at most n / share common terms, however many items there are.
-COMMON_SHARE = 0.01
+# Most words that may be broadcast with their weight.
+COMMON_WORDS = 100_000
 
 
 def content_text(
@@ -78,13 +77,15 @@ def idf(content: DataFrame, keep_blank: bool = False) -> DataFrame:
 def tfidf_long(content: DataFrame, keep_blank: bool = False) -> DataFrame:
     """(item, feature, tf, tfidf).
 
-    Weights are joined to words by the word itself. Common words, whose number is bounded, are
-    broadcast: their many rows stay where they are, and no single word can fill a task. The
-    rest, none of which is in more than a small share of the items, shuffles by word.
+    Weights are joined to words by the word itself. A word is common when it is in at least
+    1/COMMON_WORDS of all (item, feature) rows, so there are at most COMMON_WORDS of them,
+    whatever the texts. Those are broadcast: their many rows stay where they are, and no single
+    word can fill a task. The rest shuffles by word, and none of it is frequent.
     """
     frequency = term_frequency(content, keep_blank)
     weights = _idf_of(frequency, content)
-    is_common = F.col("df") >= F.col("items") * F.lit(COMMON_SHARE)
+    rows = weights.agg(F.sum("df").alias("rows")).scalar()
+    is_common = F.col("df") * F.lit(COMMON_WORDS) >= rows
     common = weights.filter(is_common).select("feature", F.col("idf").alias("weight"))
     rare = weights.filter(~is_common).select("feature", F.col("idf").alias("rare_weight"))
     marked = frequency.join(F.broadcast(common), "feature", "left")

@@ -150,11 +150,11 @@ def test_common_and_rare_words_get_the_same_weights(spark, monkeypatch):
                     F.concat(F.lit("only"), F.col("id").cast("string"))).alias("text"),
     ).withColumnRenamed("id", "item")
     found = {}
-    for share in (0.0, 0.01, 2.0):
-        monkeypatch.setattr(content, "COMMON_SHARE", share)
-        found[share] = {(r["item"], r["feature"]): r["tfidf"] for r in content.tfidf_long(docs).collect()}
-        assert len(found[share]) == 600
-    assert found[0.0] == found[0.01] == found[2.0]
+    for most in (1, 20, 1000):
+        monkeypatch.setattr(content, "COMMON_WORDS", most)
+        found[most] = {(r["item"], r["feature"]): r["tfidf"] for r in content.tfidf_long(docs).collect()}
+        assert len(found[most]) == 600
+    assert found[1] == found[20] == found[1000]
 
 
 def test_hashed_weights_follow_exact_ones(texts):
