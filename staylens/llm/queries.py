@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import quality, secrets, url_filter
+from staylens.llm import mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +25,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# The weights of the sources, repeating.
+SOURCE_WEIGHTS = (5, 2, 1)
+
+
+@query("op1_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of all documents, with as many words as they hold."""
+    taken = mixing.mixed(
+        table(spark, folder, "documents"),
+        lambda sources: mixing.code_point_weights(sources, SOURCE_WEIGHTS),
+    )
+    return taken.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        "source",
+    )
+
+
 @query("op2_secret_scans")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of all documents, by a ledger that starts empty."""
@@ -61,3 +82,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.verdicts(table(spark, folder, "pages"), rules)
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
