@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import mixing, quality, secrets, simhash, url_filter
+from staylens.llm import mixing, pieces, quality, secrets, simhash, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -61,6 +62,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trip(table(spark, folder, "documents"), path)
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of all documents."""
