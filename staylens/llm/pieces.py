@@ -157,8 +157,16 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space that encoding put in front goes."""
-        numbers = np.frombuffer(ids, dtype="<u4").tolist()
-        raw = b"".join(map(self.output.__getitem__, numbers))
+        found = np.frombuffer(ids, dtype="<u4")
+        numbers = found.tolist()
+        control = np.flatnonzero((found == self.begin) | (found == self.end))
+        if np.any((control > 0) & (control < len(found) - 1)):
+            # Bytes on both sides of a control token make no character together.
+            parts = np.split(found, control)
+            texts = [b"".join(map(self.output.__getitem__, p.tolist())) for p in parts]
+            raw = b"".join(t.decode("utf-8", "replace-each").encode() for t in texts)
+        else:
+            raw = b"".join(map(self.output.__getitem__, numbers))
         first = next((i for i in numbers if i not in (self.begin, self.end)), None)
         if first is not None and (self.piece[first] or "").startswith(SPACE):
             raw = raw[1:]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import mixing, pieces, quality, secrets, simhash, url_filter
+from staylens.llm import mixing, pieces, quality, secrets, simhash, token_counts, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -69,6 +69,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), path)
 
 
+# Fixed value: the length of a context.
+TOKEN_LIMIT = 2048
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and whether they exceed a context."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counted = token_counts.document_counts(table(spark, folder, "documents"), path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of all documents."""
