@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import mixing, pieces, quality, secrets, simhash, token_counts, url_filter
+from staylens.llm import mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -87,6 +87,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
 
+@query("op8_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how near they are."""
+    return sketches.beside_next(table(spark, folder, "documents"))
+
+
 # The rules of the query.
 URL_RULES = [
     ("com", "/", "allow"),
