@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter
+from staylens.llm import mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter, warc
+from staylens.session import fresh_path
 
 QUERIES = {}
 ORACLES = {}
@@ -87,6 +88,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
 
+@query("op7_warc")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back, in the order of the merged index."""
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    index = warc.merged_index(warc.read_captures(spark, path))
+    return index.select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        "url_key",
+        F.unix_seconds("captured_at").alias("captured_at"),
+    )
+
+
 @query("op8_fingerprints")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts, and how near they are."""
