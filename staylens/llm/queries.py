@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter, warc
+from staylens.llm import chat, mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter, warc
 from staylens.session import fresh_path
 
 QUERIES = {}
@@ -70,6 +70,19 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), path)
 
 
+# A conversation that holds control strings.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+ODD_TURNS = [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)]
+
+
+@query("op4_chat_formatting")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and an odd one, formatted in windows and read back from them."""
+    odd = spark.createDataFrame(ODD_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, folder, "conversations").select(*odd.columns).unionByName(odd)
+    return chat.read_back(chat.windows(turns))
+
+
 # Fixed value: the length of a context.
 TOKEN_LIMIT = 2048
 
