@@ -76,6 +76,14 @@ def row_key(rows: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the rows do not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(rows: DataFrame) -> int:
     """How many partitions the session deals rows to."""
     return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

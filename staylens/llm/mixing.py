@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.llm.common import WORD, filled, row_key, shuffle_partitions, starts
+from staylens.llm.common import WORD, filled, row_key, shuffle_partitions, starts, unused
 from staylens.session import staged
 
 MOST = 3
@@ -198,14 +198,15 @@ def mixed(
 def repeated(docs: DataFrame, weights, text: str = "text", source: str = "source") -> DataFrame:
     """The rows that the mix takes, as often as it takes them, with their own columns."""
     taken = mixed(docs, weights, row_key(docs), text, source)
+    key, wanted, times = (unused(docs, name) for name in ("key", "wanted", "times"))
     # Copies of a row are alike, so one of them stands for what is taken of all.
-    wanted = (
-        taken.groupBy(F.col("id").alias("_wanted"))
-        .agg(F.sum("copies").cast("int").alias("_times"))
-        .filter("_times > 0")
+    counts = (
+        taken.groupBy(F.col("id").alias(wanted))
+        .agg(F.sum("copies").cast("int").alias(times))
+        .filter(F.col(times) > 0)
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.withColumn("_key", row_key(docs)).join(wanted, F.col("_key") == F.col("_wanted"))
-    held = held.dropDuplicates(["_key"])
-    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return held.withColumn("_copy", times).select(*columns)
+    keyed = docs.withColumn(key, row_key(docs))
+    held = keyed.join(counts, F.col(key) == F.col(wanted)).dropDuplicates([key])
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return held.select(*columns, copies.alias(key)).select(*columns)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm.common import filled, let, starts
+from staylens.llm.common import filled, let, starts, unused
 from staylens.session import fresh_path
 
 KINDS = ("assign", "access", "hex")
@@ -235,13 +235,13 @@ def spans_text(findings: Column) -> Column:
 
 def redact(docs: DataFrame, ledger: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
     """The rows with their secrets replaced; ``size``, if there, becomes the new length."""
-    dirty = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_dirty")).distinct()
-    joined = docs.join(dirty, blob_of(F.col(text)) == F.col("_dirty"), "left")
-    clean = F.when(F.col("_dirty").isNull(), F.col(text)).otherwise(redacted(filled(F.col(text))))
+    mark = unused(docs, "dirty")
+    dirty = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias(mark)).distinct()
+    joined = docs.join(dirty, blob_of(F.col(text)) == F.col(mark), "left")
+    clean = F.when(F.col(mark).isNull(), F.col(text)).otherwise(redacted(filled(F.col(text))))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     result = joined.select(*columns)
-    if size in docs.columns:
-        result = result.withColumn(
-            size, F.when(F.col(text).isNull(), F.col(size)).otherwise(F.length(text).cast(docs.schema[size].dataType))
-        )
-    return result
+    if size not in docs.columns:
+        return result
+    length = F.length(text).cast(docs.schema[size].dataType)
+    return result.withColumn(size, F.when(F.col(text).isNull(), F.col(size)).otherwise(length))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import row_key
+from staylens.llm.common import row_key, unused
 from staylens.session import staged
 
 # Fixed values of the fingerprint.
@@ -308,7 +308,9 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     order = F.struct(F.col(id_column).isNull(), F.col(id_column), row_key(docs))
     prints = staged(fingerprints(order, F.col(text), docs), "simhash-prints")
-    stay = groups(prints).select(F.col("group_id.col3").alias("_stay")).distinct()
+    key, wanted = unused(docs, "key"), unused(docs, "wanted")
+    stay = groups(prints).select(F.col("group_id.col3").alias(wanted)).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.withColumn("_key", row_key(docs)).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
-    return held.dropDuplicates(["_key"]).select(*columns)
+    keyed = docs.withColumn(key, row_key(docs))
+    held = keyed.join(stay, F.col(key) == F.col(wanted), "left_semi")
+    return held.dropDuplicates([key]).select(*columns)

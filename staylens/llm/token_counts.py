@@ -20,12 +20,14 @@ text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +40,11 @@ from staylens.session import staged
 HEAD = 131_072
 HEAD_CHARS = 64
 
-# Words that a worker remembers or counts at once, and the longest that it remembers.
+# Words that a worker remembers or counts at once.
 WORDS = 250_000
-WORD_CHARS = 64
+
+# Documents whose words are looked up together.
+DOCUMENTS = 64
 
 # Rows handed on at once.
 ROWS = 50_000
@@ -55,24 +59,69 @@ class PreTokens:
         longest_first = sorted(self.special, key=len, reverse=True)
         names = "|".join(map(re.escape, longest_first))
         self.cut_special = re.compile(f"({names})" if names else r"(?!)")
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def cut(self, word: str) -> tuple[str, ...]:
-        found = self.known.get(word)
-        if found is None:
-            parts: list[str] = []
-            for part in self.cut_special.split(word):
-                if part in self.special:
-                    parts.append(part)
-                elif part:
-                    normal = self.tokenizer.normalizer.normalize_str(part)
-                    parts += [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-            found = tuple(parts)
-            if len(word) <= WORD_CHARS:
-                if len(self.known) >= WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        self.known: dict[bytes, tuple[str, ...]] = {}
+        self._learn_simple(json.loads(self.tokenizer.to_str()))
+
+    def _learn_simple(self, config: dict) -> None:
+        """The characters whose words need no library call, found by trying each on the library.
+
+        A word of Latin letters, digits and signs is in normal form; what remains is to put it in lower
+        case, to cut it by the tokenizer's own pattern and to name its bytes. This holds for
+        normalizers and pre-tokenizers of the kinds below; other tokenizers get no such characters.
+        """
+        self.simple, self.names = re.compile(r"(?!)"), {}
+        normal = (config["normalizer"] or {}).get("normalizers", [])
+        before = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = [x["type"] for x in normal], [x["type"] for x in before]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            return
+        split, named = before
+        if not split["invert"] or split["behavior"] != "Removed" or named["use_regex"]:
+            return
+        chars = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180)]]
+        pattern, good = split["pattern"]["Regex"], []
+        for kind in (r"\p{L}", r"\p{N}"):
+            # Only these characters will be met, so a class is the list of its members among them.
+            pattern = pattern.replace(kind, "".join(c for c in chars if regex.match(kind, c)))
+        self.pattern = re.compile(pattern)
+        for char in chars:
+            lower = char.lower()
+            if self._cut(lower)[0] == lower and len(lower) == 1:
+                self.names[ord(lower)] = "".join(p for p, _ in self._cut(lower)[1])
+        for char in chars:
+            if ord(char.lower()[0]) in self.names and self._simply(char) == self._alone(char):
+                good.append(char)
+        self.simple = re.compile(f"[{re.escape(''.join(good))}]{{1,256}}")
+
+    def _simply(self, text: str) -> tuple[str, ...]:
+        text = text.lower()
+        parts = self.pattern.findall(text)
+        return tuple(parts if text.isascii() else [p.translate(self.names) for p in parts])
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, tuple[str, ...]]:
+        """The pre-tokens of at least these words; forgets others when there are too many."""
+        known = self.known
+        if len(known) >= WORDS:
+            known.clear()
+        for word in words:
+            if word not in known:
+                text = word.decode()
+                simple = self.simple.fullmatch(text) and not self.cut_special.search(text)
+                known[word] = self._simply(text) if simple else self._alone(text)
+        return known
+
+    def _cut(self, text: str) -> tuple[str, list]:
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        return normal, self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+
+    def _alone(self, text: str) -> tuple[str, ...]:
+        parts: list[str] = []
+        for part in self.cut_special.split(text):
+            if part in self.special:
+                parts.append(part)
+            elif part:
+                parts += [p for p, _ in self._cut(part)[1]]
+        return tuple(parts)
 
     def pieces(self, pre_token: str) -> int:
         if pre_token in self.special:
@@ -86,13 +135,6 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in SPACES.split(text or "") if w]
-
-
 def corpus_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Each distinct pre-token of all texts: ``token``, ``n`` (times it occurs), ``pieces``."""
 
@@ -101,8 +143,9 @@ def corpus_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             parts: dict[str, int] = defaultdict(int)
+            known = cutter.learn(seen)
             for word, n in seen.items():
-                for part in cutter.cut(word):
+                for part in known[word]:
                     parts[part] += n
             seen.clear()
             names, amounts = list(parts), list(parts.values())
@@ -116,8 +159,8 @@ def corpus_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 )
 
         for batch in batches:
-            for value in batch.column(0):
-                seen.update(words(value.as_py()))
+            for value in batch.column(0).cast(pa.binary()):
+                seen.update((value.as_py() or b"").split())
                 if len(seen) >= WORDS:
                     yield from flushed()
         yield from flushed()
@@ -168,17 +211,17 @@ def document_counts(
         cutter, pieces = pre_tokens(path), known.value
         row = TaskContext.get().partitionId() << 40
         # A word's pieces among the frequent pre-tokens, and its other pre-tokens.
-        short: dict[str, tuple[int, tuple[str, ...]]] = {}
-
-        def split(word: str) -> tuple[int, tuple[str, ...]]:
-            parts = cutter.cut(word)
-            rest = tuple(p for p in parts if p not in pieces)
-            found = sum(pieces[p] for p in parts if p in pieces), rest
-            if len(word) <= WORD_CHARS:
-                if len(short) >= WORDS:
-                    short.clear()
-                short[word] = found
-            return found
+        short: dict[bytes, tuple[int, tuple[str, ...]]] = {}
+
+        def learn(some: Iterable[bytes]) -> None:
+            if len(short) >= WORDS:
+                short.clear()
+            fresh = set(some).difference(short)
+            known = cutter.learn(fresh)
+            for word in fresh:
+                parts = known[word]
+                rest = tuple(p for p in parts if p not in pieces)
+                short[word] = sum(pieces[p] for p in parts if p in pieces), rest
 
         def made(out) -> pa.RecordBatch:
             kinds = [pa.int64(), id_kind, pa.int64(), pa.string(), pa.int64()]
@@ -191,19 +234,29 @@ def document_counts(
         id_kind = pa.int64()
         for batch in batches:
             id_kind = batch.column(0).type
-            for name, size, value in zip(*[batch.column(i) for i in range(3)], strict=True):
-                row += 1
-                amount, rest = 0, defaultdict(int)
-                for word, n in Counter(words(value.as_py())).items():
-                    own, others = short.get(word) or split(word)
-                    amount += n * own
-                    for part in others:
-                        rest[part] += n
-                for column, cell in zip(out, (row, name.as_py(), size.as_py(), None, amount), strict=True):
-                    column.append(cell)
-                for part, n in rest.items():
-                    for column, cell in zip(out, (row, None, None, part, n), strict=True):
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(low, DOCUMENTS)
+                counts = [
+                    Counter((t.as_py() or b"").split()) for t in part.column(2).cast(pa.binary())
+                ]
+                learn(word for c in counts for word in c)
+                for name, size, count in zip(part.column(0), part.column(1), counts, strict=True):
+                    row += 1
+                    amount, rest = 0, defaultdict(int)
+                    for word, n in count.items():
+                        own, others = short[word]
+                        amount += n * own
+                        for other in others:
+                            rest[other] += n
+                    cells = (row, name.as_py(), size.as_py(), None, amount)
+                    for column, cell in zip(out, cells, strict=True):
                         column.append(cell)
+                    more = len(rest)
+                    for column, cell in zip(out, ([row], [None], [None], None, None), strict=True):
+                        if cell is not None:
+                            column.extend(cell * more)
+                    out[3].extend(rest)
+                    out[4].extend(rest.values())
                 if len(out[0]) >= ROWS:
                     yield made(out)
             if out[0]:
