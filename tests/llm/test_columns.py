@@ -1,0 +1,251 @@
+"""Column helpers, quality rules, secrets and URL filters against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from staylens.llm import quality, queries, secrets, url_filter
+from staylens.llm.common import let, row_key, starts, unused
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CLASH = "m int, words int, kept int, blob int, host int, path int, rule int, dirty int"
+ODD = [None, "", " ", "\n\n", "a", "a b", "a\n" * 70, "the of " * 60, "é 日本 😀 " * 40]
+
+
+def clashing(spark, rows, schema):
+    """A table whose other columns have the names that operators use inside."""
+    extra = len(CLASH.split(","))
+    return spark.createDataFrame([(*r, *range(extra)) for r in rows], f"{schema}, {CLASH}")
+
+
+def random_texts(seed, alphabet, count, most=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for _ in range(count)]
+
+
+def test_starts_beyond_one_block(spark):
+    sizes = [list(range(n)) for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(s,) for s in sizes], "s array<int>")
+    for row in df.select("s", starts(F.col("s")).alias("t")).collect():
+        assert row.t == [sum(row.s[:i]) for i in range(len(row.s))]
+
+
+def test_let_unused_and_row_key(spark):
+    df = spark.createDataFrame([(1, None), (1, "-"), (1, "")], "a int, key string")
+    assert unused(df, "Key") == "Key_"
+    assert df.select(row_key(df)).distinct().count() == 3
+    assert df.select(let(F.col("a"), lambda x: x + x)).first()[0] == 2
+
+
+# -- quality
+
+
+def measured(text):
+    words = WORD.findall(text or "")
+    windows = defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    covered = {j for v in windows.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text or "")),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+def test_measures_match_plain_python(spark):
+    alphabet = ["a ", "b ", "c ", "the\n", "#", "a b c\n", "\x0b", "é ", " ", "- x\n"]
+    texts = [*ODD, *random_texts(1, alphabet, 300), "x y z " * 20_000]
+    docs = clashing(spark, list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.judged(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = measured(texts[r.doc_id])
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == want, texts[r.doc_id]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_hash_collisions_are_no_repeats(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    df = spark.createDataFrame([("a b c d e f",), ("a b c x a b c",)], "text string")
+    rows = df.select(quality.measures(F.col("text")).alias("m")).collect()
+    assert [r.m.n_repeat_words for r in rows] == [0, 6]
+
+
+def test_kept_rows_keep_their_columns(spark):
+    good = " ".join(f"word{i} the" for i in range(60))
+    docs = clashing(spark, [(1, good), (1, good), (None, good), (2, "junk")], "doc_id long, text string")
+    kept = quality.kept_only(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.select("doc_id").collect(), key=str) == [(1,), (1,), (None,)]
+    assert quality.judged(docs.limit(0)).count() == 0
+
+
+def test_thresholds_are_a_table(spark):
+    text = "the cat ## sat " * 1
+    df = spark.createDataFrame([(text,)], "text string")
+    m = quality.measures(F.col("text"))
+    strict = (quality.Threshold("symbol_ratio", most=0.1),)
+    loose = (quality.Threshold("symbol_ratio", most=0.9),)
+    row = df.select(quality.passes(m, strict).alias("a"), quality.passes(m, loose).alias("b")).first()
+    assert (row.a, row.b) == (False, True)
+
+
+# -- secrets
+
+PATTERNS = [
+    (
+        "assign",
+        re.compile(
+            r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            re.I | re.A,
+        ),
+        2,
+        8,
+    ),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile("[0-9a-f]+"), 0, 32),
+]
+
+
+def spans(text):
+    found = [
+        (m.start(), k, m.end(), kind)
+        for k, (kind, pattern, group, least) in enumerate(PATTERNS)
+        for m in pattern.finditer(text or "")
+        if len(m[group]) >= least
+    ]
+    return [(kind, start, end) for start, _, end, kind in sorted(found)]
+
+
+SECRET_ALPHABET = [
+    "password", "Token", "API_KEY", "apikey", "secret", "passwd", "=", ": ", "'", '"', " ", "abcdefgh12",
+    "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "😀", "x", "\n", "/",
+]
+
+
+def test_findings_match_plain_python(spark):
+    texts = [*ODD, *random_texts(2, SECRET_ALPHABET, 400), "token=abcdefgh1 é" * 2000, "token: secret: abcdefgh"]
+    docs = clashing(spark, list(enumerate(texts)), "doc_id long, text string")
+    ledger = secrets.scan_unseen(docs)
+    rows = secrets.findings_by_path(docs, ledger).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [(f.kind, f.start, f.end) for f in r.findings] == spans(texts[r.doc_id])
+
+
+def test_ledger_scans_only_what_is_unseen(spark):
+    first = spark.createDataFrame([("a", "token=abcdefgh"), ("b", "x")], "p string, text string")
+    path = secrets.new_ledger(spark)
+    ledger = secrets.update_ledger(first, path)
+    assert ledger.count() == 2 * len(secrets.RULES)
+    more = first.unionByName(
+        spark.createDataFrame([("c", "token=abcdefgh"), ("d", "new")], "p string, text string")
+    )
+    fresh = secrets.scan_unseen(more, ledger)
+    assert {r.blob for r in fresh.collect()} == {hashlib.sha256(b"new").hexdigest()}
+    ledger = secrets.update_ledger(more, path, ledger)
+    assert ledger.count() == 3 * len(secrets.RULES)
+    found = secrets.findings_by_path(more, ledger, "p").filter(F.size("findings") > 0)
+    assert sorted(r.p for r in found.collect()) == ["a", "c"]
+    renewed = (secrets.Rule("hex", r"[0-9a-f]{8,}", 0, 8, version=2), *secrets.RULES[:2])
+    again = secrets.scan_unseen(more, ledger, renewed).collect()
+    assert {r.rule for r in again} == {"hex/2"} and len(again) == 3
+
+
+def test_redaction_keeps_rows_and_clean_texts(spark):
+    rows = [(1, "a token=abcdefgh b", 18), (1, "a token=abcdefgh b", 18), (None, None, None), (2, "token=short", 11)]
+    docs = clashing(spark, rows, "doc_id long, text string, n_chars long")
+    out = secrets.redact(docs, secrets.scan_unseen(docs))
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+    assert got == sorted(
+        [(1, "a [REDACTED] b", 14)] * 2 + [(None, None, None), (2, "token=short", 11)], key=str
+    )
+    texts = random_texts(3, SECRET_ALPHABET, 200)
+    many = spark.createDataFrame([(t,) for t in texts], "text string")
+    left = many.select(secrets.redacted(F.col("text")).alias("text"))
+    for before, after in zip(many.collect(), left.collect(), strict=True):
+        if not spans(before.text):
+            assert after.text == before.text
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    ledger = secrets.update_ledger(docs, secrets.new_ledger(spark))
+    assert ledger.count() == 0
+    assert secrets.findings_by_path(docs, ledger).count() == 0
+    assert secrets.redact(docs, ledger).count() == 0
+
+
+# -- URLs
+
+
+def verdict(url, rules, otherwise="allow"):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    fitting = [
+        (len(h + p), len(h), h + p, v)
+        for h, p, v in rules
+        if host and (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    best = max(fitting, default=None)
+    return host, path, best and best[2], best[3] if best else otherwise
+
+
+def urls():
+    rng = random.Random(4)
+    hosts = ["com", "a.com", "example.com", "www.Example.COM", "x.www.example.com", "notexample.com", "net", "q.net", ".com", "com."]
+    paths = ["", "/", "/en/", "/en", "/en/x", "/es/y", "/fr/", "/EN/"]
+    ends = ["", "?q=/en/", "#/en/", "?a#b"]
+    made = [f"{rng.choice(['http', 'HTTPS', ''])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(ends)}" for _ in range(300)]
+    return [None, "", "x", "mailto:a@b.com", "://", "http://", "http:///en/", *made, *made[:20]]
+
+
+def test_verdicts_match_plain_python(spark):
+    pages = clashing(spark, list(enumerate(urls())), "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    rows = url_filter.verdicts(pages, rules).collect()
+    assert len(rows) == len(urls())
+    for r in rows:
+        assert (r.host, r.path, r.rule, r.verdict) == verdict(urls()[r.page_id], queries.URL_RULES)
+    assert url_filter.verdicts(pages.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 16])
+def test_false_positives_are_removed(spark, monkeypatch, bits):
+    """A filter with hardly any bits passes everything; the join still gives the same answers."""
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", bits)
+    listed = [(f"h{i}.com", f"/p{i}", "block") for i in range(200)]
+    sites = [f"http://h{i}.com/p{j}" for i in range(40) for j in (i, i + 1)]
+    pages = spark.createDataFrame(list(enumerate(sites)), "page_id long, url string")
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.verdicts(pages, rules).collect()}
+    assert got == {i: verdict(u, listed)[3] for i, u in enumerate(sites)}
+
+
+def test_filter_drops_most_unlisted_keys(spark):
+    rules = spark.createDataFrame([(f"h{i}.com", "/", "block") for i in range(500)], "host string, path string, verdict string")
+    keys = url_filter.listed(rules)
+    strange = spark.range(2000).select(F.concat(F.lit("z"), "id", F.lit(".com")).alias("key_host"), F.lit("/").alias("key_path"))
+    keyed = strange.select(F.col("key_host").alias("host"), F.lit("/").alias("path"), "key_host", "key_path")
+    assert url_filter.possible_hits(keyed, keys).count() < 200
+    own = keys.select("host", "path", F.col("host").alias("key_host"), F.col("path").alias("key_path"))
+    assert url_filter.possible_hits(own, keys).count() == 500
+
+
+def test_no_rules(spark):
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert [tuple(r) for r in url_filter.verdicts(pages, rules, "block").collect()] == [
+        (1, "a.com", "/", None, "block")
+    ]
