@@ -109,7 +109,7 @@ def candidates(urls: DataFrame, keys: DataFrame) -> DataFrame:
     """The keys under which each distinct (host, path) may be listed."""
     shapes = keys.select("n_labels", "n_path").distinct()
     # At most as many shapes as rules; they travel as one array with every url.
-    known = shapes.agg(F.collect_set(F.struct("n_labels", "n_path")).alias("shapes"))
+    known = shapes.agg(F.collect_set(F.struct("n_labels", "n_path")).alias("shapes")).scalar()
     labels = F.split("host", r"\.")
 
     def key(shape: Column) -> Column:
@@ -122,8 +122,7 @@ def candidates(urls: DataFrame, keys: DataFrame) -> DataFrame:
     fitting = F.filter(
         "shapes", lambda s: (s["n_labels"] <= F.size(labels)) & (s["n_path"] <= F.length("path"))
     )
-    # One row on the right side, so this pairs nothing with anything.
-    return urls.join(F.broadcast(known)).select(
+    return urls.withColumn("shapes", known).select(
         "host", "path", F.explode(F.transform(fitting, key)).alias("key")
     ).select("host", "path", "key.*")
 
