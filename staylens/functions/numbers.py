@@ -10,6 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: how a number is written. Casting alone also takes nan, inf, 1d and 2f.
+NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$"
+
+
+def as_number(text: Column) -> Column:
+    """The number a text states, null if it states none."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def total(columns: Sequence[Column]) -> Column:
     return reduce(add, columns)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from staylens.functions.numbers import as_number
+
 
 def as_day(column: Column) -> Column:
     """Text or timestamp to date; text that is no date gives null."""
@@ -29,7 +31,7 @@ def guest_totals(description: Column, blank_kids_is_zero: bool = False) -> Colum
         return F.greatest(F.coalesce(F.size(ages), F.lit(0)), F.lit(0)).cast("long")
 
     def add_room(totals: Column, room: Column) -> Column:
-        adults = F.substring_index(room, ":", 1).try_cast("double")
+        adults = as_number(F.substring_index(room, ":", 1))
         return F.struct(
             F.when(adults.isNull(), totals["adults"])
             .otherwise(F.coalesce(totals["adults"], F.lit(0.0)) + adults)

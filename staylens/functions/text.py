@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staylens.functions.numbers import as_number
+
 # Blank characters that separate words.
 BLANKS = r"[ \t\n\x0B\f\r]"
 
@@ -16,7 +18,7 @@ def positive_tokens(text: Column, separator: str = r"\|", any_token: bool = Fals
     tokens = F.split(text, separator)
     if any_token:
         return F.size(tokens).cast("long")
-    kept = F.filter(tokens, lambda token: token.try_cast("double") > 0)
+    kept = F.filter(tokens, lambda token: as_number(token) > 0)
     return F.size(kept).cast("long")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel, KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from staylens.functions.numbers import distance, squared_distance
 from staylens.operators.cleaning import fill_numeric, numeric_cast
-from staylens.operators.joins import BROADCAST_BYTES, ROW_OVERHEAD
+from staylens.operators.joins import broadcast_if_small
 from staylens.operators.scaling import scaled_names, zscore
+from staylens.session import staged
 
 # The columns hotels are compared by.
 CLUSTER_FEATURES = [
@@ -46,6 +47,11 @@ def clustering_points(support: DataFrame, axis: str = "row") -> DataFrame:
     return scaled.select("hotel_id", *scaled_names(CLUSTER_FEATURES))
 
 
+def cluster_count(support: DataFrame, hotels_per_cluster: int) -> int:
+    """So many clusters that each has about so many hotels; grows with the table."""
+    return max(2, -(-support.count() // hotels_per_cluster))
+
+
 def _assembled(points: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(points)
 
@@ -56,15 +62,27 @@ def train_clusters(
     k: int = DEFAULT_K,
     max_iterations: int = MAX_ITERATIONS,
     seed: int = 1,
-) -> KMeansModel:
-    """K-means from random starting centres."""
-    means = KMeans(
-        k=k, maxIter=max_iterations, initMode="random", seed=seed, predictionCol="cluster_id"
-    )
+    method: str = "kmeans",
+) -> KMeansModel | BisectingKMeansModel:
+    """K-means from random starting centres, or by halving groups with ``method="bisecting"``.
+
+    Plain K-means compares every row with every centre in each pass; halving compares it with two
+    on each level, so with very many clusters it takes about log k steps instead of k.
+    """
+    if method == "bisecting":
+        means = BisectingKMeans(k=k, maxIter=max_iterations, seed=seed, predictionCol="cluster_id")
+    elif method == "kmeans":
+        means = KMeans(
+            k=k, maxIter=max_iterations, initMode="random", seed=seed, predictionCol="cluster_id"
+        )
+    else:
+        raise ValueError("method is 'kmeans' or 'bisecting'")
     return means.fit(_assembled(points, columns))
 
 
-def assign_clusters(model: KMeansModel, points: DataFrame, columns: Sequence[str]) -> DataFrame:
+def assign_clusters(
+    model: KMeansModel | BisectingKMeansModel, points: DataFrame, columns: Sequence[str]
+) -> DataFrame:
     """Add ``cluster_id``; every other column, the id among them, stays on its row."""
     return model.transform(_assembled(points, columns)).drop("features")
 
@@ -85,16 +103,14 @@ def given_centres(points: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cluster_cost(
-    assigned: DataFrame, centres: DataFrame, columns: Sequence[str], k: int | None = None
+    assigned: DataFrame, centres: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """One row: the sum of distances to the centre, the sum of squared ones, and the points.
 
-    ``k`` is the number of centres if known: it sets the size of the table, and a table that is
-    small enough is sent to every task. Otherwise the join is left to Spark.
+    The centres are written once; if their counted rows are few enough they go to every task, so
+    that the points, which have few clusters, need not shuffle by them.
     """
-    width = ROW_OVERHEAD + 8 * (len(columns) + 1)
-    small = k is not None and k * width <= BROADCAST_BYTES
-    lookup = F.broadcast(centres) if small else centres
+    lookup = broadcast_if_small(staged(centres, "centres"))
     here = [F.col(c).cast("double") for c in columns]
     there = [F.col(f"c_{c}") for c in columns]
     return assigned.join(lookup, "cluster_id").agg(

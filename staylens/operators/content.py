@@ -8,17 +8,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import text
+from staylens.session import staged
 
 # Whose names describe an item (the second actor is not among them).
 NAME_COLUMNS = ("director", "actor3", "actor1")
 HASH_BUCKETS = 1 << 18
 
-# Most words that may be broadcast with their weight.
+# Most words that may be broadcast with their weight, and the longest that may.
 COMMON_WORDS = 100_000
+COMMON_CHARS = 256
 
 
 def content_text(
@@ -34,14 +36,16 @@ def ascii_fold(items: DataFrame, column: str = "text") -> DataFrame:
     return items.withColumn(column, text.ascii_folded(F.col(column)))
 
 
-def token_explode(content: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """(item, feature): one row per word of the whole text.
+def token_explode(
+    content: DataFrame, keep_blank: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(item, feature): one row per word of the whole text, with the ``carry`` columns of its item.
 
     Blank words go by a row filter after the split, which keeps the scan, split and filter in
     one piece of generated code.
     """
     split = text.split_words(F.col("text"), keep_blank)
-    tokens = content.select("item", F.explode(split).alias("feature"))
+    tokens = content.select("item", *carry, F.explode(split).alias("feature"))
     return tokens if keep_blank else tokens.filter(F.col("feature") != "")
 
 
@@ -50,10 +54,12 @@ def distinct_tokens(content: DataFrame) -> DataFrame:
     return content.select("item", F.array_distinct(text.words(F.col("text"))).alias("features"))
 
 
-def term_frequency(content: DataFrame, keep_blank: bool = False) -> DataFrame:
+def term_frequency(
+    content: DataFrame, keep_blank: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
     """(item, feature, tf). The words of an item merge in its own task before they move."""
-    tokens = token_explode(content, keep_blank)
-    return tokens.groupBy("item", "feature").agg(F.count("*").alias("tf"))
+    tokens = token_explode(content, keep_blank, carry)
+    return tokens.groupBy("item", *carry, "feature").agg(F.count("*").alias("tf"))
 
 
 def _item_count(content: DataFrame) -> Column:
@@ -74,22 +80,35 @@ def idf(content: DataFrame, keep_blank: bool = False) -> DataFrame:
     return _idf_of(term_frequency(content, keep_blank), content).select("feature", "df", "idf")
 
 
-def tfidf_long(content: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """(item, feature, tf, tfidf).
+def tfidf_long(
+    content: DataFrame,
+    keep_blank: bool = False,
+    items: DataFrame | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(item, feature, tf, tfidf), with the ``carry`` columns of the item.
 
     Weights are joined to words by the word itself. A word is common when it is in at least
-    1/COMMON_WORDS of all (item, feature) rows, so there are at most COMMON_WORDS of them,
-    whatever the texts. Those are broadcast: their many rows stay where they are, and no single
-    word can fill a task. The rest shuffles by word, and none of it is frequent.
+    1/COMMON_WORDS of all (item, feature) rows and has at most COMMON_CHARS characters, so there are
+    at most COMMON_WORDS of them, of bounded size, whatever the texts. Those are broadcast: their
+    many rows stay where they are, and no single word can fill a task. The rest shuffles by word,
+    and only a very long word among it can be frequent.
+
+    With ``items`` only those items get rows, but weights still come from all texts. The word
+    counts are then written once, so that the texts are not split again for the narrower branch.
     """
-    frequency = term_frequency(content, keep_blank)
+    frequency = term_frequency(content, keep_blank, carry)
+    detail = frequency
+    if items is not None:
+        frequency = staged(frequency, "term-frequency")
+        detail = frequency.join(items.select("item").distinct(), "item", "left_semi")
     weights = _idf_of(frequency, content)
     rows = weights.agg(F.sum("df").alias("rows")).scalar()
-    is_common = F.col("df") * F.lit(COMMON_WORDS) >= rows
+    is_common = (F.col("df") * F.lit(COMMON_WORDS) >= rows) & (F.length("feature") <= COMMON_CHARS)
     common = weights.filter(is_common).select("feature", F.col("idf").alias("weight"))
     rare = weights.filter(~is_common).select("feature", F.col("idf").alias("rare_weight"))
-    marked = frequency.join(F.broadcast(common), "feature", "left")
-    columns = ["item", "feature", "tf"]
+    marked = detail.join(F.broadcast(common), "feature", "left")
+    columns = ["item", *carry, "feature", "tf"]
     here = marked.filter(F.col("weight").isNotNull()).select(
         *columns, (F.col("tf") * F.col("weight")).alias("tfidf")
     )
@@ -124,7 +143,8 @@ def feature_index(features: DataFrame, buckets: int = HASH_BUCKETS) -> DataFrame
     """Add ``index``, the hash bucket of each feature."""
     hashing = HashingTF(inputCol="one", outputCol="hashed", numFeatures=buckets)
     hashed = hashing.transform(features.withColumn("one", F.array("feature")))
-    index = F.get(F.unwrap_udt(F.col("hashed"))["indices"], F.lit(0))
+    # Never null, so that no null check on it is pushed below the rows it is made for.
+    index = F.coalesce(F.get(F.unwrap_udt(F.col("hashed"))["indices"], F.lit(0)), F.lit(0))
     return hashed.withColumn("index", index).drop("one", "hashed")
 
 
@@ -141,31 +161,29 @@ def hashed_vectors(
 def hashed_tfidf(
     content: DataFrame, buckets: int = HASH_BUCKETS, keep_blank: bool = False
 ) -> DataFrame:
-    """(item, feature, index, value): the weight of each feature's hash bucket in its item.
+    """(item, feature, tf, index, value): the weight of each feature's hash bucket in its item.
 
     Features of an item that share a bucket share its value, as in ``hashed_vectors``, but each
-    stays matched to its own bucket. Bucket weights are at most ``buckets`` rows.
+    stays matched to its own bucket. The word counts are written first, so a bucket is looked up
+    once for each word of an item and not for each time it occurs. Bucket weights are at most
+    ``buckets`` rows.
     """
-    indexed = feature_index(term_frequency(content, keep_blank), buckets)
-    together = Window.partitionBy("item", "index")
-    grouped = indexed.select(
-        "item",
-        "feature",
-        "index",
-        F.sum("tf").over(together).alias("n"),
-        (F.min("feature").over(together) == F.col("feature")).alias("first"),
+    counts = staged(term_frequency(content, keep_blank), "term-frequency")
+    # The features of one item in one bucket are few.
+    grouped = feature_index(counts, buckets).groupBy("item", "index").agg(
+        F.sum("tf").alias("n"), F.collect_list(F.struct("feature", "tf")).alias("features")
     )
-    # One feature stands for its bucket in each item. Asking for n as well keeps the columns of
-    # this branch equal to those of the other, so that both read one shuffle.
-    stands = F.sum(F.when(F.col("first") & (F.col("n") > 0), 1).otherwise(0)).alias("df")
     weights = (
         grouped.groupBy("index")
-        .agg(stands)
+        .agg(F.count_if(F.col("n") > 0).alias("df"))
         .withColumn("items", _item_count(content))
         .select("index", F.log((F.col("items") + 1) / (F.col("df") + 1)).alias("weight"))
     )
     if buckets <= HASH_BUCKETS:
         weights = F.broadcast(weights)
     return grouped.join(weights, "index").select(
-        "item", "feature", "index", (F.col("n") * F.col("weight")).alias("value")
+        "item",
+        F.inline("features"),
+        "index",
+        (F.col("n") * F.col("weight")).alias("value"),
     )

@@ -29,13 +29,24 @@ def model_inputs(kind: str) -> dict[str, str]:
     return {c: shared.get(c, c) for c in matrix_features(kind)}
 
 
-def prepared(df: DataFrame, kind: str, categories: dict[str, int] | None = None) -> DataFrame:
+def prepared(
+    df: DataFrame,
+    kind: str,
+    categories: dict[str, int] | None = None,
+    out_of_range: str = "error",
+) -> DataFrame:
     """Inputs as doubles under their model names, categories marked as such.
 
-    A forest takes categories 0..n-1 only, so a value outside is moved to the nearest end;
-    ``out_of_range`` counts them. Pass ``categories={}`` to treat all inputs as numbers.
+    A forest takes categories 0..n-1 only. With ``out_of_range="error"`` any other value fails the
+    query; with ``"numeric"`` all inputs are plain numbers and no value is altered. The choice must
+    be the same in training and scoring. Pass other ``categories`` to widen their ranges;
+    ``out_of_range_counts`` counts what lies outside.
     """
+    if out_of_range not in ("error", "numeric"):
+        raise ValueError("out_of_range is 'error' or 'numeric'")
     categories = CATEGORIES if categories is None else categories
+    if out_of_range == "numeric":
+        categories = {}
     inputs = model_inputs(kind)
     columns = [F.col(c) for c in df.columns if c not in inputs]
     for source, name in inputs.items():
@@ -44,13 +55,17 @@ def prepared(df: DataFrame, kind: str, categories: dict[str, int] | None = None)
             columns.append(value.alias(name))
             continue
         arity = categories[name]
-        inside = F.greatest(F.lit(0.0), F.least(F.floor(value).cast("double"), F.lit(arity - 1.0)))
+        whole = F.floor(value).cast("double")
+        problem = F.concat(F.lit(f"{name} is outside 0..{arity - 1}: "), value.cast("string"))
+        inside = F.when((value >= 0) & (value < arity), whole).otherwise(
+            F.raise_error(problem).cast("double")
+        )
         mark = {"ml_attr": {"type": "nominal", "name": name, "num_vals": arity}}
         columns.append(inside.alias(name, metadata=mark))
     return df.select(*columns)
 
 
-def out_of_range(df: DataFrame, kind: str) -> DataFrame:
+def out_of_range_counts(df: DataFrame, kind: str) -> DataFrame:
     """One row: how many values of each category lie outside its range."""
     counts = []
     for source, name in model_inputs(kind).items():
@@ -62,7 +77,11 @@ def out_of_range(df: DataFrame, kind: str) -> DataFrame:
 
 
 def train_forest(
-    matrix: DataFrame, kind: str = "lead", seed: int = 1, categories: dict[str, int] | None = None
+    matrix: DataFrame,
+    kind: str = "lead",
+    seed: int = 1,
+    categories: dict[str, int] | None = None,
+    out_of_range: str = "error",
 ) -> PipelineModel:
     """Fit the forest on a train matrix."""
     inputs = list(model_inputs(kind).values())
@@ -78,16 +97,21 @@ def train_forest(
             seed=seed,
         ),
     ]
-    rows = prepared(matrix, kind, categories).withColumn("label", F.col("gooddeal").cast("double"))
+    rows = prepared(matrix, kind, categories, out_of_range)
+    rows = rows.withColumn("label", F.col("gooddeal").cast("double"))
     return Pipeline(stages=stages).fit(rows.select("label", *inputs))
 
 
 def score(
-    model: PipelineModel, matrix: DataFrame, kind: str, categories: dict[str, int] | None = None
+    model: PipelineModel,
+    matrix: DataFrame,
+    kind: str,
+    categories: dict[str, int] | None = None,
+    out_of_range: str = "error",
 ) -> DataFrame:
     """Each row's ids (and label, if it has one) with the prediction and its probability."""
     kept = [c for c in matrix.columns if c not in model_inputs(kind)]
-    scored = model.transform(prepared(matrix, kind, categories))
+    scored = model.transform(prepared(matrix, kind, categories, out_of_range))
     return scored.select(
         *kept,
         F.col("prediction").cast("int").alias("prediction"),

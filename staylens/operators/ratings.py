@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Most entries one vector row may hold; a longer vector continues in the next block.
-VECTOR_BLOCK = 65_536
+# Users that one row expands into at once.
+USER_BLOCK = 65_536
 
 
 def user_subset(ratings: DataFrame, num_users: int) -> DataFrame:
@@ -29,9 +29,13 @@ def user_item_pairs(ratings: DataFrame, num_users: int) -> DataFrame:
     pairs are many, so it is spread over all tasks before it expands.
     """
     tasks = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    users = F.sequence(F.lit(1).cast("long"), F.lit(num_users).cast("long"))
     items = distinct_items(ratings).repartition(tasks, "item")
-    return items.select(F.explode(users).alias("user"), "item")
+    blocks = F.sequence(F.lit(0), F.lit(max(0, (num_users - 1) // USER_BLOCK)))
+    low = F.col("block").cast("long") * USER_BLOCK
+    users = F.sequence(low + 1, F.least(low + USER_BLOCK, F.lit(max(1, num_users))))
+    spread = items.select("item", F.explode(blocks).alias("block"))
+    pairs = spread.select(F.explode(users).alias("user"), "item")
+    return pairs.filter(F.col("user") <= num_users)
 
 
 def unrated_pairs(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -67,12 +71,12 @@ def top_k_items(ratings: DataFrame, k: int) -> DataFrame:
     return ratings.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
-def user_vectors(ratings: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
-    """Each user's items and ratings as one ordered array of (item, rating).
+def user_vectors(ratings: DataFrame, block: int) -> DataFrame:
+    """Each user's items and ratings as ordered arrays of (item, rating), one for each block.
 
     Items and ratings share a struct, so they cannot lose their alignment. A vector row covers a
-    range of ``block`` item numbers and so has a bounded size; catalogues smaller than a block
-    give one row per user.
+    range of ``block`` item numbers and so has a bounded size; a user has a row (user, block,
+    entries) for every block with a rating. Only a catalogue within one block gives one row per user.
     """
     return (
         ratings.withColumn("block", F.floor(F.col("item") / F.lit(block)).cast("long"))

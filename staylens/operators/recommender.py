@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,7 +61,10 @@ def train_als(
 
 def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
     """Add ``prediction``; pairs whose user or item the model has not seen are left out."""
-    return model.transform(pairs).withColumn("prediction", F.col("prediction").cast("double"))
+    found = model.transform(pairs)
+    # The model returns ids as integers; they go back to the types they came in.
+    kept = {c: F.col(c).cast(pairs.schema[c].dataType) for c in ("user", "item")}
+    return found.withColumns({**kept, "prediction": F.col("prediction").cast("double")})
 
 
 def split_ratings(ratings: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +111,30 @@ def search_rank(
 
 def completed(ratings: DataFrame, model: ALSModel, num_users: int) -> DataFrame:
     """Known ratings of users 1..``num_users`` and predictions for all their other items."""
-    pairs = unrated_pairs(user_item_pairs(ratings, num_users), ratings)
-    return rated_plus_predicted(user_subset(ratings, num_users), predict(model, pairs))
+    # All users' items are candidates; only the subset's own ratings are read to leave pairs out.
+    rated = user_subset(ratings, num_users)
+    pairs = unrated_pairs(user_item_pairs(ratings, num_users), rated)
+    return rated_plus_predicted(rated, predict(model, pairs))
+
+
+def recommend_items(ratings: DataFrame, model: ALSModel, users: DataFrame, k: int) -> DataFrame:
+    """(user, item, prediction, place): the ``k`` best items that each user has not rated.
+
+    ``users`` has the column ``user``. The model ranks items of these users alone, as many more
+    than k as the user with most ratings may have rated; those rated are then taken out.
+    """
+    wanted = users.select("user").distinct()
+    rated = ratings.join(wanted, "user", "left_semi").select("user", "item").distinct()
+    most = rated.groupBy("user").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    ranked = model.recommendForUserSubset(wanted, k + most)
+    rows = ranked.select("user", F.inline("recommendations"))
+    rows = rows.withColumns({c: F.col(c).cast(ratings.schema[c].dataType) for c in ("user", "item")})
+    fresh = rows.join(rated, ["user", "item"], "left_anti")
+    best = Window.partitionBy("user").orderBy(F.col("rating").desc(), F.col("item"))
+    placed = fresh.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return placed.select(
+        "user", "item", F.col("rating").cast("double").alias("prediction"), "place"
+    )
 
 
 def complete_ratings(

@@ -9,6 +9,8 @@ only the final removal of copies moves rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,12 +85,20 @@ def effective_price(df: DataFrame) -> DataFrame:
 
 
 def stay_features(
-    df: DataFrame, kind: str, dedupe: bool = True, blank_kids_is_zero: bool = False
+    df: DataFrame,
+    kind: str,
+    dedupe: bool = True,
+    blank_kids_is_zero: bool = False,
+    ids: Sequence[str] = (),
 ) -> DataFrame:
-    """The feature row of each stay. ``dedupe=False`` saves the shuffle when ids are unique."""
+    """The feature row of each stay. ``dedupe=False`` saves the shuffle when ids are unique.
+
+    ``ids`` are further id columns to carry, such as ``usersearch_id``, which groups the offers
+    of one user's search.
+    """
     full = effective_price(timeline_features(room_guests(df, blank_kids_is_zero), kind))
     narrow = fill_numeric(
-        full.select(*feature_columns(kind)), keep=(stay_id(kind), "hotel_id")
+        full.select(*ids, *feature_columns(kind)), keep=(*ids, stay_id(kind), "hotel_id")
     )
     return narrow.dropDuplicates() if dedupe else narrow
 

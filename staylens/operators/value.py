@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ def search_support_join(searches: DataFrame, support: DataFrame) -> DataFrame:
     return searches.join(support, "hotel_id", "inner").select(*searches.columns, *HOTEL_SIDE)
 
 
-def score_matrix(searches: DataFrame, support: DataFrame) -> DataFrame:
+def score_matrix(
+    searches: DataFrame, support: DataFrame, ids: Sequence[str] = ()
+) -> DataFrame:
+    """The model inputs of each search, with its ids and the further ``ids`` it carries."""
     joined = search_support_join(searches, support)
-    narrow = joined.select("search_id", "hotel_id", *matrix_features(SEARCH))
-    return fill_numeric(narrow, keep=("search_id", "hotel_id"))
+    kept = (*ids, "search_id", "hotel_id")
+    return fill_numeric(joined.select(*kept, *matrix_features(SEARCH)), keep=kept)
 
 
 def clustered_hotels(support: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from staylens.operators import content as ops
 from staylens.operators import recommender
 from staylens.operators.affinity import user_feature_affinity as affinity_of
+from staylens.operators.ratings import distinct_items
 from staylens.plans import flows
 from staylens.plans import oracle_parts as parts
 from staylens.plans.rating_queries import NUM_USERS
@@ -72,14 +75,41 @@ FROM tfidf JOIN documents ON item = doc_id GROUP BY feature""",
 )
 def feature_pivot(spark, folder):
     """Largest weight of each word in each language."""
-    texts = standins.content(spark, folder)
-    weights = ops.tfidf_long(texts).join(texts.select("item", "lang"), "item")
+    weights = ops.tfidf_long(standins.content(spark, folder), carry=["lang"])
     return rounded(ops.feature_pivot(weights, "lang", LANGUAGES), 6, *LANGUAGES)
 
 
-@query("hashed_tfidf")
+@query(
+    "distinct_tokens",
+    f"""WITH {parts.DISTINCT_TOKENS}
+SELECT item, count(*) AS n, md5(string_agg(feature, ' ' ORDER BY first)) AS features
+FROM first_use GROUP BY item""",
+)
+def distinct_tokens(spark, folder):
+    """Each word of an item once, in order of first use; shown by its digest."""
+    found = ops.distinct_tokens(_content(spark, folder)).filter(F.size("features") > 0)
+    joined = F.md5(F.array_join("features", " "))
+    return found.select("item", F.size("features").cast("long").alias("n"), joined.alias("features"))
+
+
+@query(
+    "hashed_tfidf",
+    f"WITH {parts.TFIDF} SELECT item, feature, tf, true AS agrees FROM tf",
+)
 def hashed_tfidf(spark, folder):
-    return ops.hashed_tfidf(_content(spark, folder))
+    """Each word of an item, and whether its bucket's weight is that of the Spark ML vectors."""
+    content = _content(spark, folder)
+    vectors, _ = ops.hashed_vectors(content)
+    cells = vectors.select("item", F.unwrap_udt(F.col("features")).alias("v")).select(
+        "item", F.inline(F.arrays_zip("v.indices", "v.values"))
+    )
+    cells = cells.toDF("item", "index", "expected")
+    close = F.abs(F.col("value") - F.col("expected")) < 1e-9
+    return (
+        ops.hashed_tfidf(content)
+        .join(cells, ["item", "index"], "left")
+        .select("item", "feature", "tf", F.coalesce(close, F.lit(False)).alias("agrees"))
+    )
 
 
 @query(
@@ -89,15 +119,27 @@ SELECT "user", feature, round(sum(rating * tfidf), 4) AS affinity
 FROM rated JOIN tfidf USING (item) GROUP BY "user", feature""",
 )
 def user_feature_affinity(spark, folder):
-    found = affinity_of(
-        standins.ratings(spark, folder), ops.tfidf_long(_content(spark, folder))
-    )
+    rated = standins.ratings(spark, folder)
+    weights = ops.tfidf_long(_content(spark, folder), items=distinct_items(rated))
+    found = affinity_of(rated, weights)
     return rounded(found, 4, "affinity")
 
 
-@query("user_feature_affinity_als")
+@query(
+    "user_feature_affinity_als",
+    f"""WITH {parts.TFIDF},{parts.pairs(NUM_USERS)},
+done AS (
+  SELECT "user", item FROM rated WHERE "user" <= {NUM_USERS}
+  UNION ALL
+  SELECT "user", item FROM unrated u WHERE EXISTS (SELECT 1 FROM rated r WHERE r."user" = u."user")
+)
+SELECT DISTINCT "user", feature, true AS finite FROM done JOIN tf USING (item)""",
+)
 def user_feature_affinity_als(spark, folder):
-    """The same from known and predicted ratings of the user subset."""
+    """Whom known and predicted ratings of the user subset give an affinity, and to which words."""
     rated = standins.ratings(spark, folder)
     model = recommender.train_als(rated)
-    return flows.recommend_features(rated, _content(spark, folder), model, NUM_USERS)
+    found = flows.recommend_features(rated, _content(spark, folder), model, NUM_USERS)
+    value = F.col("affinity")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return found.select("user", "feature", finite.alias("finite"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.clustering import BisectingKMeansModel, KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from staylens.operators.cleaning import hash_split
 from staylens.operators.content import tfidf_long
 from staylens.operators.hotels import SUPPORT_COLUMNS, support_table
 from staylens.operators.joins import broadcast_if_small, fits_broadcast
+from staylens.operators.ratings import distinct_items
 from staylens.operators.recommender import completed
 from staylens.operators.scaling import scaled_names
 from staylens.operators.stays import LEAD, SEARCH, lead_features, search_features
@@ -24,11 +26,11 @@ POINT_COLUMNS = scaled_names(clusters.CLUSTER_FEATURES)
 
 
 def hotel_clusters(
-    support: DataFrame, k: int, seed: int = 1, axis: str = "row"
-) -> tuple[KMeansModel, DataFrame]:
+    support: DataFrame, k: int, seed: int = 1, axis: str = "row", method: str = "kmeans"
+) -> tuple[KMeansModel | BisectingKMeansModel, DataFrame]:
     """Fit clusters on the hotels and give each hotel its own (``z_*`` columns kept)."""
     points = staged(clusters.clustering_points(support, axis), "points")
-    model = clusters.train_clusters(points, POINT_COLUMNS, k=k, seed=seed)
+    model = clusters.train_clusters(points, POINT_COLUMNS, k=k, seed=seed, method=method)
     return model, clusters.assign_clusters(model, points, POINT_COLUMNS)
 
 
@@ -37,7 +39,7 @@ class ValueModel:
     """A fitted flow: the forest, the clusters, the support table and the held-out scores."""
 
     forest: PipelineModel
-    clusters: KMeansModel
+    clusters: KMeansModel | BisectingKMeansModel | None
     support: DataFrame
     labelled: DataFrame
     held_out: DataFrame
@@ -50,31 +52,54 @@ def train_value_model(
     k: int = clusters.DEFAULT_K,
     seed: int = 1,
     axis: str = "row",
+    method: str = "kmeans",
+    hotels_per_cluster: int | None = None,
+    given: DataFrame | None = None,
+    out_of_range: str = "error",
 ) -> ValueModel:
-    """Support table, clusters, labels, then a forest on 70 % of all leads."""
+    """Support table, clusters, labels, then a forest on 70 % of all leads.
+
+    ``hotels_per_cluster`` sets k by the number of hotels. ``given`` (hotel_id, cluster_id) takes the
+    place of fitted clusters. ``out_of_range``: see ``forest.prepared``.
+    """
     support = staged(support_table(places, hotels), "support")
-    means, assigned = hotel_clusters(support, k, seed, axis)
+    if given is not None:
+        means, assigned = None, given
+    else:
+        if hotels_per_cluster is not None:
+            k = clusters.cluster_count(support, hotels_per_cluster)
+        means, assigned = hotel_clusters(support, k, seed, axis, method)
     grouped = staged(value.clustered_hotels(support, assigned), "clustered-hotels")
     small = fits_broadcast(grouped, extra_columns=1)
     labelled = value.value_label(lead_features(leads), grouped, hotels_fit=small)
     matrix = staged(
         hash_split(value.train_matrix(labelled), ["lead_id"], 0.7, seed), "train-matrix"
     )
-    model = forest.train_forest(matrix.filter(F.col("split") == "train"), LEAD, seed)
-    held_out = forest.score(model, matrix.filter(F.col("split") == "test"), LEAD)
+    model = forest.train_forest(matrix.filter(F.col("split") == "train"), LEAD, seed, out_of_range=out_of_range)
+    held_out = forest.score(
+        model, matrix.filter(F.col("split") == "test"), LEAD, out_of_range=out_of_range
+    )
     return ValueModel(model, means, support, matrix, held_out)
 
 
-def score_searches(searches: DataFrame, support: DataFrame, model: PipelineModel) -> DataFrame:
+def score_searches(
+    searches: DataFrame,
+    support: DataFrame,
+    model: PipelineModel,
+    out_of_range: str = "error",
+    ids: Sequence[str] = (),
+) -> DataFrame:
     """Every search with a known hotel: prediction 1 for great value, 0 for not, ids kept.
 
-    ``support`` is a written table; it is broadcast if its counted rows are few enough.
+    ``support`` is a written table; it is broadcast if its counted rows are few enough. ``ids``
+    are further id columns to keep, such as ``usersearch_id``.
     """
     known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
-    matrix = value.score_matrix(search_features(searches), known)
-    return forest.score(model, matrix, SEARCH)
+    matrix = value.score_matrix(search_features(searches, ids=ids), known, ids)
+    return forest.score(model, matrix, SEARCH, out_of_range=out_of_range)
 
 
 def recommend_features(ratings: DataFrame, content: DataFrame, model, num_users: int) -> DataFrame:
     """Affinity of users 1..``num_users`` to features, from known and predicted ratings."""
-    return user_feature_affinity(completed(ratings, model, num_users), tfidf_long(content))
+    weights = tfidf_long(content, items=distinct_items(ratings))
+    return user_feature_affinity(completed(ratings, model, num_users), weights)

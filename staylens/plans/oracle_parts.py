@@ -60,7 +60,8 @@ HOTEL_RAW = """
 hotel_raw AS (
   SELECT p_partkey AS hotel_id, p_partkey % 25 AS place_id,
          CASE WHEN p_size % 10 <> 0 THEN concat_ws('|', p_size % 4, replace(p_brand, 'Brand#', ''),
-              split_part(p_name, ' ', 1), p_size) END AS themes,
+              split_part(p_name, ' ', 1),
+              ['nan', '1d', 'inf', '2.5'][1 + p_partkey % 4], p_size) END AS themes,
          CASE WHEN p_size % 7 <> 0 THEN concat_ws('|', p_size % 3, split_part(p_name, ' ', 2),
               p_size) END AS facilities,
          p_size % 13 AS rating,
@@ -90,17 +91,19 @@ place AS (
   FROM nation
 )"""
 
-THEMES = """
+THEMES = r"""
 theme AS (
-  SELECT hotel_id, CAST(sum(CASE WHEN TRY_CAST(token AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS BIGINT)
+  SELECT hotel_id, CAST(sum(CASE WHEN regexp_full_match(token, '[+-]?[0-9]+(\.[0-9]+)?')
+                        AND TRY_CAST(token AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS BIGINT)
          AS tot_themes
   FROM (SELECT hotel_id, unnest(string_split(themes, '|')) AS token FROM hotel_raw)
   GROUP BY hotel_id
 )"""
 
-FACILITIES = """
+FACILITIES = r"""
 facility AS (
-  SELECT hotel_id, CAST(sum(CASE WHEN TRY_CAST(token AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS BIGINT)
+  SELECT hotel_id, CAST(sum(CASE WHEN regexp_full_match(token, '[+-]?[0-9]+(\.[0-9]+)?')
+                        AND TRY_CAST(token AS DOUBLE) > 0 THEN 1 ELSE 0 END) AS BIGINT)
          AS tot_facilities
   FROM (SELECT hotel_id, unnest(string_split(facilities, '|')) AS token FROM hotel_raw)
   GROUP BY hotel_id
@@ -202,3 +205,15 @@ idf AS (
 tfidf AS (
   SELECT item, feature, tf, tf * idf AS tfidf FROM tf JOIN idf USING (feature)
 )"""
+
+DISTINCT_TOKENS = r"""
+listed AS (
+  SELECT doc_id AS item, regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+') AS words
+  FROM documents
+),
+placed AS (
+  SELECT item, unnest(words) AS feature, generate_subscripts(words, 1) AS place FROM listed
+),
+first_use AS (
+  SELECT item, feature, min(place) AS first FROM placed WHERE feature <> '' GROUP BY item, feature
+)"""

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import functions as F
 
 from staylens.operators import ratings as ops
 from staylens.operators import recommender
 from staylens.plans import oracle_parts as parts
 from staylens.plans.registry import query, rounded
-from staylens.sources import standins
+from staylens.session import fresh_path, staged
+from staylens.sources import files, standins
 
 # The threshold of the user subset: a parameter of the feature, users 1..n are completed.
 NUM_USERS = 100
 # Rows the sorted listing shows.
 LISTED = 4160
 TOP_K = 10
+# Item numbers that one vector row covers; the given items take more than one block.
+VECTOR_BLOCK = 64
 
 
 def _ratings(spark, folder):
@@ -42,7 +46,8 @@ def user_item_pairs(spark, folder):
 @query("unrated_pairs", f"WITH {parts.pairs(NUM_USERS)} SELECT * FROM unrated")
 def unrated_pairs(spark, folder):
     rated = _ratings(spark, folder)
-    return ops.unrated_pairs(ops.user_item_pairs(rated, NUM_USERS), rated)
+    own = ops.user_subset(rated, NUM_USERS)
+    return ops.unrated_pairs(ops.user_item_pairs(rated, NUM_USERS), own)
 
 
 @query(
@@ -72,9 +77,10 @@ FROM unrated JOIN guess USING (item)""",
 )
 def rated_plus_predicted(spark, folder):
     rated = _ratings(spark, folder)
-    pairs = ops.unrated_pairs(ops.user_item_pairs(rated, NUM_USERS), rated)
+    own = ops.user_subset(rated, NUM_USERS)
+    pairs = ops.unrated_pairs(ops.user_item_pairs(rated, NUM_USERS), own)
     guesses = rounded(pairs.join(ops.item_means(rated), "item"), 4, "prediction")
-    return ops.rated_plus_predicted(ops.user_subset(rated, NUM_USERS), guesses)
+    return ops.rated_plus_predicted(own, guesses)
 
 
 @query(
@@ -100,7 +106,7 @@ def top_k_items(spark, folder):
 @query(
     "user_vectors",
     f"""WITH {parts.RATINGS}
-SELECT "user", CAST(item // {ops.VECTOR_BLOCK} AS BIGINT) AS block, count(*) AS size,
+SELECT "user", CAST(item // {VECTOR_BLOCK} AS BIGINT) AS block, count(*) AS size,
        string_agg(concat(item, ':', CAST(round(rating * 100) AS BIGINT)), ' ' ORDER BY item)
          AS entries
 FROM rated GROUP BY 1, 2""",
@@ -110,26 +116,115 @@ def user_vectors(spark, folder):
     entry = lambda e: F.concat(
         e["item"].cast("string"), F.lit(":"), F.round(e["rating"] * 100).cast("long").cast("string")
     )
-    vectors = ops.user_vectors(_ratings(spark, folder))
+    vectors = ops.user_vectors(_ratings(spark, folder), VECTOR_BLOCK)
     return vectors.select(
         "user", "block", F.size("entries").cast("long").alias("size"),
         F.array_join(F.transform("entries", entry), " ").alias("entries"),
     )
 
 
-@query("als_predict")
+# What a fitted model gives is checked in its operator's tests. The queries below return what holds
+# for any sound model: the rows it must cover, and whether each number is one.
+
+SPLIT = f"""{parts.RATINGS},
+sided AS (
+  SELECT *, ('0x' || substr(md5(concat_ws('|', '0', "user", item)), 1, 8))::BIGINT % 10000 < 7000
+         AS train FROM rated
+),
+held AS (
+  SELECT * FROM sided h WHERE NOT train
+    AND EXISTS (SELECT 1 FROM sided t WHERE t.train AND t."user" = h."user")
+    AND EXISTS (SELECT 1 FROM sided t WHERE t.train AND t.item = h.item)
+)"""
+
+
+def _finite(column):
+    value = F.col(column)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+@query(
+    "als_predict",
+    f"""WITH {SPLIT} SELECT "user", item, rating, true AS predicted FROM held""",
+)
 def als_predict(spark, folder):
-    """Held-out ratings with the prediction of a model fitted on the others."""
+    """Held-out ratings and whether a model fitted on the others predicts them."""
     train, check = recommender.split_ratings(_ratings(spark, folder))
-    return recommender.predict(recommender.train_als(train), check)
+    found = recommender.predict(recommender.train_als(train), check)
+    return found.select("user", "item", "rating", _finite("prediction").alias("predicted"))
 
 
-@query("als_rank_search")
+@query(
+    "als_rank_search",
+    f"""WITH {SPLIT},
+share AS (
+  SELECT round((SELECT count(*) FROM held)
+               / CAST((SELECT count(*) FROM sided WHERE NOT train) AS DOUBLE), 6) AS coverage
+)
+SELECT rank, coverage, true AS scored
+FROM share, (SELECT unnest([{", ".join(map(str, recommender.RANKS))}]) AS rank)""",
+)
 def als_rank_search(spark, folder):
-    return recommender.search_rank(_ratings(spark, folder)).scores
+    """Each rank with its share of predicted held-out ratings and whether it got an error."""
+    scores = rounded(recommender.search_rank(_ratings(spark, folder)).scores, 6, "coverage")
+    return scores.select("rank", "coverage", _finite("rmse").alias("scored"))
 
 
-@query("complete_ratings")
+@query(
+    "complete_ratings",
+    f"""WITH {parts.pairs(NUM_USERS)}
+SELECT "user", item, rating, 'rated' AS source FROM rated WHERE "user" <= {NUM_USERS}
+UNION ALL
+SELECT "user", item, CAST(NULL AS DOUBLE) AS rating, 'predicted' AS source
+FROM unrated u WHERE EXISTS (SELECT 1 FROM rated r WHERE r."user" = u."user")""",
+)
 def complete_ratings(spark, folder):
+    """All ratings of the user subset; of predicted ones the pair alone."""
     rated = _ratings(spark, folder)
-    return recommender.complete_ratings(rated, recommender.train_als(rated), NUM_USERS)
+    full = recommender.complete_ratings(rated, recommender.train_als(rated), NUM_USERS)
+    known = F.when(F.col("source") == "rated", F.col("rating"))
+    return full.filter(_finite("rating")).withColumn("rating", known)
+
+
+@query(
+    "recommend_items",
+    f"""WITH {parts.RATINGS},
+mine AS (SELECT "user", count(DISTINCT item) AS n FROM rated WHERE "user" <= {NUM_USERS} GROUP BY 1)
+SELECT "user", least({TOP_K}, (SELECT count(DISTINCT item) FROM rated) - n) AS items,
+       CAST(0 AS BIGINT) AS rated
+FROM mine WHERE (SELECT count(DISTINCT item) FROM rated) > n""",
+)
+def recommend_items(spark, folder):
+    """How many items each user of the subset is recommended, and how many of them are rated."""
+    rated = _ratings(spark, folder)
+    users = ops.user_subset(rated, NUM_USERS).select("user").distinct()
+    found = recommender.recommend_items(rated, recommender.train_als(rated), users, TOP_K)
+    seen = rated.select("user", "item", F.lit(1).alias("seen"))
+    return found.join(seen, ["user", "item"], "left").groupBy("user").agg(
+        F.countDistinct("item").alias("items"), F.count("seen").alias("rated")
+    )
+
+
+@query("headerless_scan", f"WITH {parts.RATINGS} SELECT * FROM rated")
+def headerless_scan(spark, folder):
+    """Ratings written as CSV without a header and read back by position."""
+    path = fresh_path(spark, "ratings-csv")
+    rated = _ratings(spark, folder)
+    files.write_csv(rated, path, header=False)
+    return files.read_headerless_csv(spark, path, rated.schema)
+
+
+@query(
+    "als_model_files",
+    f"""WITH {parts.RATINGS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM rated""",
+)
+def als_model_files(spark, folder):
+    """Predictions of a saved and loaded model against those of the model itself."""
+    rated = staged(_ratings(spark, folder), "ratings")
+    model, path = recommender.train_als(rated), fresh_path(spark, "als")
+    files.save_model(model, path)
+    one = recommender.predict(model, rated)
+    other = recommender.predict(ALSModel.load(path), rated).withColumnRenamed("prediction", "again")
+    both = one.join(other.select("user", "item", "again"), ["user", "item"])
+    differs = F.abs(F.col("prediction") - F.col("again")) > 1e-9
+    return both.agg(F.count("*").alias("rows"), F.count_if(differs).alias("differing"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeansModel
+from pyspark.sql import functions as F
+
 from staylens.operators import cleaning, clusters, forest, scaling, stays, value
 from staylens.plans import flows
 from staylens.plans import oracle_parts as parts
 from staylens.plans.booking_queries import support
 from staylens.plans.registry import query, rounded
-from staylens.sources import standins
+from staylens.session import fresh_path
+from staylens.sources import files, standins
 
-# Clusters fitted by the queries: few, as the smallest given table holds 200 hotels.
-CLUSTERS = 50
+# Hotels for each fitted cluster: the number of clusters grows with the table.
+HOTELS_PER_CLUSTER = 20
 
 
 def _searches(spark, folder):
@@ -25,15 +30,27 @@ def _branded(spark, folder):
     return value.clustered_hotels(support(spark, folder), standins.brand_clusters(spark, folder))
 
 
-def _value_model(spark, folder):
+def _value_model(spark, folder, given=None):
     return flows.train_value_model(
         standins.places(spark, folder),
         standins.hotels(spark, folder),
         standins.leads(spark, folder),
-        k=CLUSTERS,
+        hotels_per_cluster=HOTELS_PER_CLUSTER,
+        given=given,
     )
 
 
+def _fitted_clusters(spark, folder, method="kmeans"):
+    known = support(spark, folder)
+    k = clusters.cluster_count(known, HOTELS_PER_CLUSTER)
+    model, assigned = flows.hotel_clusters(known, k, method=method)
+    return k, model, assigned
+
+
+def _share(column):
+    return (F.col(column) >= 0) & (F.col(column) <= 1)
+
+
 @query(
     "search_support_join",
     f"""WITH {parts.SUPPORT},{parts.stays("search")}
@@ -169,10 +186,26 @@ def test_error(spark, folder):
     return rounded(forest.error_rate(standins.verdicts(spark, folder)), 6, "test_error")
 
 
-@query("lead_sample")
+@query(
+    "mispredicted_rows",
+    """SELECT doc_id, CAST(quality AS BIGINT) AS gooddeal, CAST(toxic AS BIGINT) AS prediction
+FROM labels WHERE quality <> toxic""",
+)
+def mispredicted_rows(spark, folder):
+    wrong = forest.mispredicted(standins.verdicts(spark, folder))
+    return wrong.withColumns({c: F.col(c).cast("long") for c in ("gooddeal", "prediction")})
+
+
+@query(
+    "lead_sample",
+    f"""WITH {parts.stays("lead")}
+SELECT lead_id, hotel_id, total_usd FROM lead_raw
+WHERE ('0x' || substr(md5(concat_ws('|', '0', lead_id)), 1, 8))::BIGINT % 10000 < 100""",
+)
 def lead_sample(spark, folder):
-    """The 1 % sample of raw leads."""
-    return cleaning.sample_rows(standins.leads(spark, folder), 0.01, seed=0)
+    """The 1 % sample of raw leads, by the hash of their ids."""
+    sample = cleaning.sample_by_key(standins.leads(spark, folder), ["lead_id"], 0.01)
+    return sample.select("lead_id", "hotel_id", "total_usd")
 
 
 @query(
@@ -187,33 +220,114 @@ def hash_split(spark, folder):
     return cleaning.hash_split(standins.table(spark, folder, "lineitem").select(*key), key)
 
 
-@query("kmeans_clusters")
+# What a fitted model gives is checked in its operator's tests. The queries below return what holds
+# for any sound model.
+
+
+@query("kmeans_clusters", f"WITH {parts.SUPPORT} SELECT hotel_id, true AS placed FROM support")
 def kmeans_clusters(spark, folder):
-    _, assigned = flows.hotel_clusters(support(spark, folder), CLUSTERS)
-    return assigned.select("hotel_id", "cluster_id")
+    """Every hotel, and whether it has one of the fitted clusters."""
+    k, _, assigned = _fitted_clusters(spark, folder)
+    inside = (F.col("cluster_id") >= 0) & (F.col("cluster_id") < k)
+    return assigned.select("hotel_id", inside.alias("placed"))
+
 
+@query("bisecting_clusters", f"WITH {parts.SUPPORT} SELECT hotel_id, true AS placed FROM support")
+def bisecting_clusters(spark, folder):
+    """The same with clusters found by halving, which suits very many of them."""
+    k, _, assigned = _fitted_clusters(spark, folder, "bisecting")
+    inside = (F.col("cluster_id") >= 0) & (F.col("cluster_id") < k)
+    return assigned.select("hotel_id", inside.alias("placed"))
 
-@query("kmeans_cost")
+
+@query(
+    "kmeans_cost",
+    f"WITH {parts.SUPPORT} SELECT count(*) AS points, true AS no_higher FROM support",
+)
 def kmeans_cost(spark, folder):
-    """Sum of distances of all hotels to the centre of their fitted cluster."""
-    model, assigned = flows.hotel_clusters(support(spark, folder), CLUSTERS)
+    """The cost of the fitted clusters, and whether its squares are within those of training.
+
+    Training states the cost before it moves the centres for the last time, which can only lower it.
+    """
+    _, model, assigned = _fitted_clusters(spark, folder)
     centres = clusters.model_centres(spark, model, flows.POINT_COLUMNS)
-    return clusters.cluster_cost(assigned, centres, flows.POINT_COLUMNS, k=CLUSTERS)
+    cost = clusters.cluster_cost(assigned, centres, flows.POINT_COLUMNS)
+    own = model.summary.trainingCost
+    return cost.select("points", (F.col("sum_squared") <= own * (1 + 1e-9)).alias("no_higher"))
 
 
-@query("rf_train_score")
+@query(
+    "kmeans_model_files",
+    f"""WITH {parts.SUPPORT}
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM support""",
+)
+def kmeans_model_files(spark, folder):
+    """Clusters from a saved and loaded model against those of the model itself."""
+    _, model, assigned = _fitted_clusters(spark, folder)
+    path = fresh_path(spark, "kmeans")
+    files.save_model(model, path)
+    points = assigned.drop("cluster_id")
+    again = clusters.assign_clusters(KMeansModel.load(path), points, flows.POINT_COLUMNS)
+    both = assigned.select("hotel_id", "cluster_id").join(
+        again.select("hotel_id", F.col("cluster_id").alias("again")), "hotel_id"
+    )
+    differs = F.col("cluster_id") != F.col("again")
+    return both.agg(F.count("*").alias("rows"), F.count_if(differs).alias("differing"))
+
+
+HELD_OUT = f"""WITH {parts.LABELLED}
+SELECT lead_id, gooddeal, true AS sound FROM labelled
+WHERE ('0x' || substr(md5(concat_ws('|', '1', lead_id)), 1, 8))::BIGINT % 10000 >= 7000"""
+
+
+@query("rf_train_score", HELD_OUT)
 def rf_train_score(spark, folder):
-    """Held-out leads with label and prediction after the whole training flow."""
-    return _value_model(spark, folder).held_out
+    """Held-out leads of the given clusters with their label, and whether each score is sound."""
+    held = _value_model(spark, folder, standins.brand_clusters(spark, folder)).held_out
+    sound = F.col("prediction").isin(0, 1) & _share("probability")
+    return held.select("lead_id", "gooddeal", sound.alias("sound"))
+
+
+@query(
+    "rf_model_files",
+    f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM ({HELD_OUT})""",
+)
+def rf_model_files(spark, folder):
+    """Scores of a saved and loaded forest against those of the forest itself."""
+    model = _value_model(spark, folder, standins.brand_clusters(spark, folder))
+    path = fresh_path(spark, "forest")
+    files.save_model(model.forest, path)
+    rows = model.labelled.filter(F.col("split") == "test")
+    again = forest.score(PipelineModel.load(path), rows, stays.LEAD)
+    both = model.held_out.select("lead_id", "probability").join(
+        again.select("lead_id", F.col("probability").alias("again")), "lead_id"
+    )
+    differs = F.abs(F.col("probability") - F.col("again")) > 1e-9
+    return both.agg(F.count("*").alias("rows"), F.count_if(differs).alias("differing"))
 
 
-@query("rf_description")
+@query(
+    "rf_description",
+    f"""SELECT unnest([{", ".join(f"'{n}'" for n in forest.model_inputs("lead").values())}]) AS feature,
+       CAST(1 AS DOUBLE) AS all_weights""",
+)
 def rf_description(spark, folder):
-    return forest.describe_forest(spark, _value_model(spark, folder).forest)
+    """The inputs of the forest, and the sum of their weights."""
+    weights = forest.describe_forest(spark, _value_model(spark, folder).forest)
+    total = weights.agg(F.round(F.sum("importance"), 6)).scalar()
+    return weights.select("feature", total.alias("all_weights"))
 
 
-@query("score_search")
+@query(
+    "score_search",
+    f"""WITH {parts.SUPPORT},{parts.stays("search")}
+SELECT search_id, hotel_id, true AS sound FROM search JOIN support USING (hotel_id)""",
+)
 def score_search(spark, folder):
-    """All searches scored by a model trained on all leads."""
+    """All searches scored by a model trained on all leads, and whether each score is sound."""
     model = _value_model(spark, folder)
-    return flows.score_searches(standins.searches(spark, folder), model.support, model.forest)
+    scored = flows.score_searches(
+        standins.searches(spark, folder), model.support, model.forest
+    )
+    sound = F.col("prediction").isin(0, 1) & _share("probability")
+    return scored.select("search_id", "hotel_id", sound.alias("sound"))

@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 
 
 def read_headed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Columns are found by header name, so the file may hold others in any order."""
-    raw = spark.read.option("header", True).csv(path)
+    """Columns are found by header name, so files may hold others and in any order.
+
+    All files of a folder must have the same header; another one fails the scan, as Spark reads
+    their fields by position.
+    """
+    named = spark.read.option("header", True).csv(path).schema
+    raw = spark.read.schema(named).option("header", True).option("enforceSchema", False).csv(path)
     return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
 
 

@@ -69,13 +69,16 @@ def hotels(spark: SparkSession, folder: str) -> DataFrame:
     word = F.split("p_name", " ")
     brand = F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))
 
+    # Tokens that a cast takes for numbers though they are none.
+    odd = F.get(F.array(*map(F.lit, ("nan", "1d", "inf", "2.5"))), (key % 4).cast("int"))
+
     def listed(*parts: Column) -> Column:
         return F.concat_ws("|", *(p.cast("string") for p in parts))
 
     return table(spark, folder, "part").select(
         key.alias("hotel_id"),
         (key % 25).alias("place_id"),
-        _unless(size % 10 == 0, listed(size % 4, brand, F.get(word, F.lit(0)), size)).alias("themes"),
+        _unless(size % 10 == 0, listed(size % 4, brand, F.get(word, F.lit(0)), odd, size)).alias("themes"),
         _unless(size % 7 == 0, listed(size % 3, F.get(word, F.lit(1)), size)).alias("facilities"),
         (size % 13).alias("rating"),
         _unless(size % 11 == 0, size * 10).alias("number_of_reviews"),

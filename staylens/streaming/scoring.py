@@ -21,9 +21,10 @@ def score_stream(
     model: PipelineModel,
     event_time: str,
     delay: str = "1 hour",
+    out_of_range: str = "error",
 ) -> DataFrame:
     """Scores of a stream of searches; a search id seen again within ``delay`` is ignored."""
     once = searches.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["search_id"])
     known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
     matrix = value.score_matrix(search_features(once, dedupe=False), known)
-    return forest.score(model, matrix, SEARCH)
+    return forest.score(model, matrix, SEARCH, out_of_range=out_of_range)

@@ -135,7 +135,7 @@ def test_clusters_keep_ids_and_find_groups(spark):
     assert assigned.count() == 240 and assigned.select("id").distinct().count() == 240
     mixed = assigned.groupBy("cluster_id").agg(F.countDistinct("g").alias("n")).filter("n > 1")
     centres = clusters.model_centres(spark, model, ["x", "y"])
-    cost = clusters.cluster_cost(assigned, centres, ["x", "y"], k=6).first()
+    cost = clusters.cluster_cost(assigned, centres, ["x", "y"]).first()
     assert cost["points"] == 240
     assert cost["sum_squared"] == pytest.approx(model.summary.trainingCost, rel=1e-6)
     if mixed.isEmpty():
@@ -181,15 +181,15 @@ def test_forest_learns_keeps_ids_and_survives_saving(spark, tmp_path):
     from pyspark.ml import PipelineModel
 
     rows = training_rows(spark)
-    model = forest.train_forest(rows)
-    scored = forest.score(model, rows, "lead")
+    model = forest.train_forest(rows, out_of_range="numeric")
+    scored = forest.score(model, rows, "lead", out_of_range="numeric")
     assert scored.columns == ["lead_id", "hotel_id", "gooddeal", "prediction", "probability"]
     error = forest.error_rate(scored).first()
     assert error["rows"] == 600 and error["test_error"] < 0.2
     assert forest.mispredicted(scored).count() == round(error["test_error"] * 600)
     path = str(tmp_path / "forest")
     files.save_model(model, path)
-    again = forest.score(PipelineModel.load(path), rows, "lead")
+    again = forest.score(PipelineModel.load(path), rows, "lead", out_of_range="numeric")
     assert scored.exceptAll(again).isEmpty()
     assert "Tree 3" in forest.forest_text(model)
     weights = {r["feature"]: r["importance"] for r in forest.describe_forest(spark, model).collect()}
@@ -202,8 +202,14 @@ def test_category_marks_and_range(spark):
     ready = forest.prepared(rows, "lead")
     mark = ready.schema["rating"].metadata["ml_attr"]
     assert (mark["type"], mark["num_vals"]) == ("nominal", 13)
-    assert ready.agg(F.max("rating"), F.max("tot_themes")).first() == (12.0, 13.0)
-    outside = forest.out_of_range(rows, "lead").first()
+    with pytest.raises(Exception, match="is outside 0..12"):
+        ready.agg(F.max("rating")).first()
+    inside = forest.prepared(rows.filter("rating between 0 and 12"), "lead")
+    assert inside.agg(F.max("rating")).first() == (12.0,)
+    plain = forest.prepared(rows, "lead", out_of_range="numeric")
+    assert plain.agg(F.max("rating")).first() == (14.0,)
+    assert "ml_attr" not in plain.schema["rating"].metadata
+    outside = forest.out_of_range_counts(rows, "lead").first()
     assert outside["rating"] == rows.filter("rating > 12").count() > 0
     assert outside["checkin_month"] == 0
     free = forest.prepared(rows, "lead", categories={})

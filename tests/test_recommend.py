@@ -36,7 +36,7 @@ def test_subset_and_items(rated):
 
 def test_vectors_keep_items_with_their_ratings(spark):
     df = spark.createDataFrame([(1, 30, 1.0), (1, 10, 5.0), (1, 20, 3.0)], RATING)
-    row = ratings.user_vectors(df).first()
+    row = ratings.user_vectors(df, block=65_536).first()
     assert [tuple(e) for e in row["entries"]] == [(10, 5.0), (20, 3.0), (30, 1.0)]
     blocks = ratings.user_vectors(df, block=20)
     assert {r["block"]: [e["item"] for e in r["entries"]] for r in blocks.collect()} == {
