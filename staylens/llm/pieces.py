@@ -7,8 +7,9 @@ the vocabulary names the tokens that end at each place, and a test on pairs pick
 ids are then read backwards from the last entry. The time is in proportion to the text, however long.
 
 The vocabulary is a merge (BPE) model with byte fallback. No piece holds a space behind another character,
-so a text falls apart in front of its spaces and each part is encoded once per worker while a bounded
-memory of parts lasts. Characters outside the vocabulary become the tokens of their bytes.
+so a text falls apart in front of its spaces; it also does in front of a line end, comma or full stop behind
+a character that no piece has before one. Each part is encoded once per worker while a bounded memory of
+parts lasts. Characters outside the vocabulary become the tokens of their bytes.
 
 A null text is the empty text: only the begin and end ids. Copies and equal ids give equal rows. Only the
 id and the text are read, so other columns may have any name.
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 
+# Marks where a text is cut; a text that holds it itself is cut at its spaces only.
+CUT = "\ue000"
+STOPS = "\n,."
+
 # Parts and pairs that a worker remembers, and the longest part worth it.
-PARTS = 400_000
+PARTS = 800_000
 PAIRS = 1_000_000
 PART_CHARS = 64
 
@@ -76,51 +81,73 @@ class Vocabulary:
             self.automaton.add_word(text, i)
         self.automaton.make_automaton()
         self.whole = {i: self.merged(text) == [i] for text, i in self.ids.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = size
+        # By left * size + right.
+        self.fits: dict[int, bool] = {}
+        # Parts used of late, and those used before them.
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        held: dict[str, set[str]] = {c: set() for c in STOPS}
+        for text in self.ids:
+            for before, stop in zip(text, text[1:], strict=False):
+                if stop in held:
+                    held[stop].add(before)
+        cuts = [
+            f"{re.escape(c)}(?<![{re.escape(''.join(sorted(b | {CUT})))}]{re.escape(c)})"
+            for c, b in held.items()
+        ]
+        self.cuts = re.compile(f"(?:{'|'.join(cuts)})")
 
     def merged(self, text: str) -> list[int]:
         """The ids of a few characters by merging, best score first; used on pairs of pieces."""
         symbols = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                found = self.ids.get(symbols[i] + symbols[i + 1])
-                if found is not None and (best is None or self.score[found] > best):
-                    best, at = self.score[found], i
-            if at < 0:
-                return [self.ids.get(s, -1) for s in symbols]
+        ids, score, none = self.ids, self.score, float("-inf")
+
+        def joined(i: int) -> float:
+            found = ids.get(symbols[i] + symbols[i + 1])
+            return none if found is None else score[found]
+
+        scores = [joined(i) for i in range(len(symbols) - 1)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = joined(at - 1)
+            if at < len(scores):
+                scores[at] = joined(at)
+        return [ids.get(s, -1) for s in symbols]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their texts meet."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.merged(self.piece[left] + self.piece[right]) == [left, right]
-            self.fits[left, right] = known
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        known = self.merged(self.piece[left] + self.piece[right]) == [left, right]
+        self.fits[left * self.size + right] = known
         return known
 
     def last_tokens(self, part: str) -> list[int]:
         """For each prefix of ``part`` its last token; -1 where that is a character without one."""
         last = [-1] * len(part)
-        length, whole, fits, compatible = self.length, self.whole, self.fits, self.compatible
+        length, whole, known, size = self.length, self.whole, self.fits.get, self.size
         for end, token in self.automaton.iter(part):
+            if last[end] >= 0:
+                continue
             start = end - length[token]
-            if start < 0 or last[start] < 0:
+            if start < 0 or (left := last[start]) < 0:
                 good = whole[token]
             else:
-                left = last[start]
-                good = fits.get((left, token))
+                good = known(left * size + token)
                 if good is None:
-                    good = compatible(left, token)
+                    good = self.compatible(left, token)
             if good:
                 last[end] = token
         return last
 
     def encode_part(self, part: str) -> bytes:
         """The ids of a part as little-endian unsigned 32-bit numbers."""
+        # A mark in front is that of a cut; a text with marks of its own has none in front of a part.
+        part = part.removeprefix(CUT)
         last = self.last_tokens(part)
         ids, at = [], len(part) - 1
         while at >= 0:
@@ -139,13 +166,16 @@ class Vocabulary:
         inner = b""
         if text:
             spaced = SPACE + text.replace(" ", SPACE)
-            parts = PART.findall(spaced)
-            if len(self.parts) >= PARTS:
-                self.parts.clear()
+            if CUT in spaced:
+                parts = AT_SPACES.findall(spaced)
+            else:
+                parts = AT_CUTS.findall(self.cuts.sub(f"{CUT}\\g<0>", spaced))
+            if len(self.parts) >= PARTS // 2:
+                self.older, self.parts = self.parts, {}
             long_parts = {}
             for part in set(parts).difference(self.parts):
                 if len(part) <= PART_CHARS:
-                    self.parts[part] = self.encode_part(part)
+                    self.parts[part] = self.older.get(part) or self.encode_part(part)
                 else:
                     long_parts[part] = self.encode_part(part)
             if long_parts:
@@ -174,7 +204,8 @@ class Vocabulary:
 
 
 # Spaces stand in front of what they belong to; the first part always has one.
-PART = re.compile(f"{SPACE}+[^{SPACE}]*")
+AT_SPACES = re.compile(f"{SPACE}+[^{SPACE}]*")
+AT_CUTS = re.compile(f"(?:{SPACE}+|{CUT})[^{SPACE}{CUT}]*")
 
 
 @lru_cache(maxsize=2)
