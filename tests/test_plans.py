@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators import joins, ratings, stays, value
 from staylens.operators.affinity import user_feature_affinity
-from staylens.plans.catalogue import ORACLES, QUERIES
+from staylens.plans.catalogue import QUERIES
 from staylens.session import fresh_path
 from staylens.sources import standins
 
@@ -168,7 +168,7 @@ def test_sorted_limit_is_a_top_n(spark):
     assert "TakeOrderedAndProject" in plan_of(ratings.sorted_limit(standins.ratings(spark, FOLDER), 5))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_all_pairs_join(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
