@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, mixing, pieces, quality, secrets, simhash, sketches, token_counts, url_filter, warc
+from staylens.llm import chat, mixing, pieces, quality, secrets, simhash, sketches, sql, token_counts, url_filter, warc
 from staylens.session import fresh_path
 
 QUERIES = {}
@@ -95,13 +95,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", sql.quality_rules())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of all documents."""
     return quality.judged(table(spark, folder, "documents"))
 
 
-@query("op7_warc")
+@query("op7_warc", sql.archives())
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to archives and read back, in the order of the merged index."""
     path = fresh_path(spark, "archives")
@@ -134,7 +134,7 @@ URL_RULES = [
 ]
 
 
-@query("op9_url_filters")
+@query("op9_url_filters", sql.url_filters(URL_RULES))
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
