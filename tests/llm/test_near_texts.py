@@ -1,0 +1,107 @@
+"""The near-copy stage against brute force over five-word shingles."""
+
+import random
+
+import numpy as np
+import pytest
+
+from staylens.llm import near_texts, simhash, stages
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(one, other):
+    common, both = len(one & other), len(one | other)
+    return 5 * common >= 4 * both
+
+
+def groups_of(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and alike(sets[i], sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in texts}
+
+
+def planted(seed, families, members, most):
+    """Texts, each with copies in which up to a share of the words is another."""
+    rng, texts = random.Random(seed), []
+    for _ in range(families):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(20, 300))]
+        texts.append(" ".join(words))
+        for _ in range(members):
+            copy = list(words)
+            for _ in range(rng.randint(1, max(1, int(len(copy) * most)))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 5000)}"
+            texts.append(" ".join(copy).title() if rng.random() < 0.2 else " ".join(copy))
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def kept(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    return {r.doc_id for r in stages.near_dedup(spark, docs, "").collect()}
+
+
+@pytest.mark.parametrize("shape", [(40, 3, 0.05), (2, 60, 0.06)])
+def test_stage_removes_what_brute_force_removes(spark, shape):
+    texts = planted(3, *shape)
+    want = groups_of(texts)
+    assert len(want) < len(texts)
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    far = [
+        (i, j)
+        for i in texts
+        for j in texts
+        if i < j and alike(shingles(texts[i]), shingles(texts[j])) and (fps[i] ^ fps[j]).bit_count() > 2
+    ]
+    assert len(far) > 10  # which fingerprints at two bits do not link
+    assert kept(spark, texts) == want
+
+
+def test_short_and_empty_texts(spark):
+    texts = {1: None, 2: " ", 3: "a b c", 4: "A  b C", 5: "a b d", 6: "a b c d e f g h", 7: "a b c d e f g x"}
+    assert kept(spark, texts) == {1, 3, 5, 6, 7}
+    assert kept(spark, {i: t for i, t in texts.items() if i in (5, 6)}) == {5, 6}
+
+
+def test_stage_of_no_documents(spark):
+    assert stages.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_places_meet_by_the_fourth_power_of_the_similarity():
+    rng = np.random.default_rng(5)
+    met = expected = 0
+    for _ in range(300):
+        size = int(rng.integers(20, 400))
+        one = rng.integers(1 << 63, size=size, dtype=np.uint64)
+        other, new = one.copy(), int(size / 9)
+        other[:new] = rng.integers(1 << 63, size=new, dtype=np.uint64)
+        same = (near_texts.places(one) == near_texts.places(other)).sum()
+        assert same
+        met, expected = met + same, expected + near_texts.BANDS * ((size - new) / (size + new)) ** 4
+    assert abs(met / expected - 1) < 0.05
+
+
+def test_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 37}" for i in range(500)).encode()
+    whole = near_texts.shingles(text)
+    monkeypatch.setattr(near_texts, "BATCH", 16)
+    monkeypatch.setattr(near_texts, "STEP", 7)
+    assert (near_texts.shingles(text) == whole).all()
+    assert len(near_texts.places(whole)) == near_texts.BANDS
