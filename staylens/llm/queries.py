@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, mixing, pieces, quality, secrets, simhash, sketches, sql, token_counts, url_filter, warc
+from staylens.llm import chat, filter_audit, mixing, pieces, quality, secrets, simhash, sketches, sql, token_counts, url_filter, warc
 from staylens.session import fresh_path
 
 QUERIES = {}
@@ -145,3 +145,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op12_filter_audit", sql.filter_audit())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters does at every step of every order, by source."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -103,3 +103,53 @@ told AS (
   FROM counted
 )
 SELECT *, NOT base_failed AND {" AND ".join(held)} AS kept FROM told"""
+
+
+def filter_audit() -> str:
+    """Every part, order and step of the filter audit, from the failures of each document."""
+    word = r"[^\x20\x09-\x0D]+"
+    pick = " || ".join(f"substr('ABCDE', p{i}, 1)" for i in range(1, 6))
+    perms = ", ".join(f"range(1, 6) AS r{i}(p{i})" for i in range(1, 6))
+    unlike = " AND ".join(f"p{i} <> p{j}" for i in range(1, 6) for j in range(1, i))
+    return f"""WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+),
+words AS (SELECT *, regexp_extract_all(text, '{word}') AS w FROM texts),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+said AS (
+  SELECT doc_id, max(coalesce(quality, 0)) = 1 AS good, max(coalesce(toxic, 0)) = 1 AS bad
+  FROM labels GROUP BY doc_id
+),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, concat(
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(words.text, '[^A-Z]', '', 'g')) > 5 * length(words.text)
+         THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(words.text, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+  FROM words JOIN firsts ON words.text = firsts.text LEFT JOIN said USING (doc_id)
+),
+counted AS (SELECT part, fails, good, bad, count(*) AS n FROM failing GROUP BY ALL),
+orders AS (SELECT {pick} AS filter_order FROM {perms} WHERE {unlike}),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f,
+         substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, range(1, 6) AS r(step)
+),
+placed AS (
+  SELECT part, filter_order, step, f, n, good, bad, contains(fails, f) AS here, fails = f AS only_here,
+         earlier <> '' AND regexp_matches(fails, '[' || earlier || '_]') AS gone
+  FROM counted, steps
+),
+summed AS (
+  SELECT part, filter_order, step, f,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT here), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND here), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND here), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (only_here), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND here AND good), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND here AND bad), 0) AS BIGINT) AS toxic_lost
+  FROM placed GROUP BY part, filter_order, step, f
+)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed"""
