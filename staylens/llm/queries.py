@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, filter_audit, mixing, pieces, quality, secrets, simhash, sketches, sql, token_counts, url_filter, warc
+from staylens.llm import chat, filter_audit, mixing, pieces, quality, secrets, simhash, sketches, spelling, sql, token_counts, url_filter, warc
 from staylens.session import fresh_path
 
 QUERIES = {}
@@ -147,6 +147,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 @query("op12_filter_audit", sql.filter_audit())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """What each of five filters does at every step of every order, by source."""
