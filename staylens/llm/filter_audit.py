@@ -118,11 +118,13 @@ def postings(rows: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
     """One row for each document on each list: part, number, list (0 to 6)."""
     bits = [F.when(F.col("fails").bitwiseAND(1 << k) != 0, F.lit(k)) for k in range(COPIES)]
     own = rows.select("part", "number", F.explode(F.array_compact(F.array(*bits))).alias("list"))
-    first = (
+    # Written, so that a join with one hot text can be split at run time.
+    first = staged(
         rows.groupBy("digest")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .filter("first < last")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "audit-copies",
     )
     copies = rows.select("part", "number", "id", "digest").join(first, "digest").filter("id > first")
     said = (
