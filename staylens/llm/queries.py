@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, filter_audit, mixing, pieces, quality, secrets, simhash, sketches, spelling, sql, token_counts, url_filter, warc
+from staylens.llm import chat, filter_audit, mixing, pieces, quality, secrets, simhash, sketches, spelling, sql, token_counts, toxicity, url_filter, warc
 from staylens.session import fresh_path
 
 QUERIES = {}
@@ -157,3 +157,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """What each of five filters does at every step of every order, by source."""
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of all documents, by a machine trained on the labels outside the held-out fold."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
