@@ -69,11 +69,14 @@ def row_key(rows: DataFrame) -> Column:
 
     Needed where a row must be found again in a second scan and its id may be null or repeated.
     """
-    parts = [
-        F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-        for c in rows.columns
-    ]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+    def field(name: str) -> Column:
+        # Its length before it, so that no content can look like the end of a field.
+        value = F.col(f"`{name}`").cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit("="), value), F.lit("-"))
+
+    return F.sha2(F.concat(*(field(c) for c in rows.columns)), 256)
 
 
 def unused(rows: DataFrame, name: str) -> str:

@@ -301,19 +301,23 @@ def near_duplicates(
     )
 
 
-def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of which no near copy has a smaller id, each once, with their own columns.
+def one_per_group(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    bucket: int = BUCKET,
+    distance: int = DISTANCE,
+) -> DataFrame:
+    """One row of each group that ``near_duplicates`` finds, with its own columns: that of the smallest id.
 
-    Near copies are the groups of ``near_texts``, of texts alike in their five-word shingles, and not
-    those of fingerprints at two bits. Of rows with the same id the one with the least digest stays; null
-    ids give way to others.
+    Of rows with the same id the one with the least digest of the whole row stays, rows that are equal stay once;
+    null ids give way to others.
     """
-    from staylens.llm import near_texts
-
     order = F.struct(F.col(id_column).isNull(), F.col(id_column), row_key(docs))
-    key, wanted = unused(docs, "key"), unused(docs, "wanted")
-    least = near_texts.least_ids(order, F.col(text), row_key(docs), docs)
-    stay = least.select(F.col("least.col3").alias(wanted)).distinct()
+    prints = staged(fingerprints(order, F.col(text), docs), "simhash-prints")
+    wanted, key = unused(docs, "wanted"), unused(docs, "key")
+    found = groups(prints, bucket, distance)
+    stay = found.select(F.col("group_id.col3").alias(wanted)).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, row_key(docs))
     held = keyed.join(stay, F.col(key) == F.col(wanted), "left_semi")

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, folder), works on all rows it gets and returns rows with the columns of
 ``documents``; the last returns token ids. ``run`` writes each stage's rows to the shared folder and reads
 them back as the next one's.
+
+A null text is the empty text for every stage; where a stage does not change it, it stays null. Very long texts
+are read whole. Rows with a null id stay unless a stage rejects their text; of rows that are near copies the
+smallest id stays, of equal ids one row by a digest of the whole row, and rows that are equal stay once. Further
+columns, whatever their names, come along up to the last stage. Without rows every stage returns none.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity 0.8) stays, that of the smallest id."""
+    """One document of each group of linked SimHash fingerprints stays, that of the smallest id."""
     return simhash.one_per_group(docs)
 
 
