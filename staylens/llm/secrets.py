@@ -57,6 +57,9 @@ RULES = (
 
 PLACEHOLDER = "[REDACTED]"
 
+# Code points of a text that are searched for findings to replace at once.
+BLOCK = 4096
+
 
 def blob_of(text: Column) -> Column:
     """The content address of a text."""
@@ -101,28 +104,34 @@ def found(text: Column, rule: Rule) -> Column:
     )
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with each finding replaced, rule by rule."""
+def redacted(text: Column, findings: Column) -> Column:
+    """The text with each stretch that findings cover replaced, findings that overlap as one.
 
-    def one(value: Column, rule: Rule) -> Column:
-        matches = F.regexp_extract_all(value, F.lit(rule.pattern), F.lit(0))
-        groups = F.regexp_extract_all(value, F.lit(rule.pattern), F.lit(rule.group))
-        shown = F.zip_with(
-            matches,
-            groups,
-            lambda m, g: F.when(F.length(g) >= rule.least, F.lit(PLACEHOLDER)).otherwise(m),
-        )
-        parts = F.zip_with(
-            F.split(value, rule.pattern, -1), shown, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))
-        )
-        return F.when(value.rlike(rule.pattern), F.array_join(parts, "")).otherwise(value)
+    ``findings`` are sorted by start. The text is cut into blocks first, so that its places are found in steps in
+    proportion to its length; a stretch over several blocks leaves its placeholder in the first.
+    """
+
+    def block_without(block: Column, low: Column, found: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
+
+        def step(state: Column, f: Column) -> Column:
+            begin, end = f["start"] - low, f["end"] - low
+            gap = F.substring(block, (state["upto"] + 1).cast("int"), (begin - state["upto"]).cast("int"))
+            # What begins in an earlier block or within the last stretch goes on with that one.
+            goes_on = (begin < 0) | (begin < state["upto"])
+            out = F.when(goes_on, state["out"]).otherwise(F.concat(state["out"], gap, F.lit(PLACEHOLDER)))
+            return F.struct(out.alias("out"), F.greatest(end, state["upto"]).alias("upto"))
+
+        rest = lambda s: F.concat(s["out"], F.substring(block, (s["upto"] + 1).cast("int"), F.lit(BLOCK)))
+        return F.aggregate(found, start, step, rest)
 
-    def step(rule: Rule):
-        return lambda value: one(value, rule)
+    def here(block: Column, i: Column) -> Column:
+        low = (i * BLOCK).cast("long")
+        found = F.filter(findings, lambda f: (f["end"] > low) & (f["start"] < low + BLOCK))
+        return let(found, lambda some: F.when(F.size(some) == 0, block).otherwise(block_without(block, low, some)))
 
-    for rule in rules:
-        text = let(text, step(rule))
-    return text
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.array_join(F.transform(blocks, here), "")
 
 
 def blobs_of(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -185,7 +194,10 @@ def new_ledger(spark: SparkSession) -> str:
 
 
 def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each blob with findings under the rules named: all of them by start, then kind."""
+    """One row for each blob with findings under the rules named: all of them by start, then kind.
+
+    A ledger to which two updates added the same pair of blob and rule gives its findings once.
+    """
     order = {rule.kind: n for n, rule in enumerate(rules)}
 
     def keyed(finding: Column) -> Column:
@@ -202,7 +214,7 @@ def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> Data
     return (
         ledger.filter(F.col("rule").isin([r.name for r in rules]) & (F.size("findings") > 0))
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        .agg(F.flatten(F.collect_set("findings")).alias("findings"))
         .select("blob", F.sort_array(F.transform("findings", keyed)).alias("findings"))
     )
 
@@ -233,12 +245,18 @@ def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, one), ",")
 
 
-def redact(docs: DataFrame, ledger: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """The rows with their secrets replaced; ``size``, if there, becomes the new length."""
-    mark = unused(docs, "dirty")
-    dirty = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias(mark)).distinct()
+def redact(
+    docs: DataFrame,
+    ledger: DataFrame,
+    text: str = "text",
+    size: str = "n_chars",
+    rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
+    """The rows with what the ledger found replaced; ``size``, if there, becomes the new length."""
+    mark, spans = unused(docs, "dirty"), unused(docs, "spans")
+    dirty = findings_by_blob(ledger, rules).select(F.col("blob").alias(mark), F.col("findings").alias(spans))
     joined = docs.join(dirty, blob_of(F.col(text)) == F.col(mark), "left")
-    clean = F.when(F.col(mark).isNull(), F.col(text)).otherwise(redacted(filled(F.col(text))))
+    clean = F.when(F.col(mark).isNull(), F.col(text)).otherwise(redacted(filled(F.col(text)), F.col(spans)))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     result = joined.select(*columns)
     if size not in docs.columns:
