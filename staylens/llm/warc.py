@@ -86,6 +86,15 @@ def _name(page: str, record: str) -> Column:
     return F.concat(F.lit("<urn:page:"), number, F.lit(":"), F.col(record).cast("string"), F.lit(">"))
 
 
+def _utc(moment: str) -> Column:
+    """The moment in UTC, whatever the session's time zone."""
+    seconds = F.unix_seconds(moment)
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86_400))
+    clock = [F.lpad(F.floor(x).cast("string"), 2, "0") for x in (rest / 3600, rest % 3600 / 60, rest % 60)]
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
+
+
 def _record(revisit: Column) -> Column:
     """A WARC record as text, without the two empty lines after it."""
 
@@ -105,7 +114,7 @@ def _record(revisit: Column) -> Column:
         F.lit("WARC/1.1"),
         field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         field("WARC-Record-ID", _name("page_id", "record")),
-        field("WARC-Date", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        field("WARC-Date", _utc("captured_at")),
         field("WARC-Target-URI", url),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, field("WARC-Profile", F.lit(PROFILE))),
