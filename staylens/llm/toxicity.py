@@ -19,7 +19,8 @@ logistic function of ``SLOPE`` times that.
 Labels belong to documents, and most sentences of a toxic document are clean. So a stretch of any clean document
 counts as clean. Of the rest, those that explain the toxic documents count as toxic: runs of four to eight
 letters and whole stretches are taken greedily, by how surely they are commoner among the toxic (``SURE`` at
-least) and how many documents they cover that none before them does; stretches that hold one are positive.
+least) and how many documents they cover that none before them does; stretches that hold one are positive, and
+the landmarks among them also stand with a letter put in.
 Clean stretches that score highest join the training set and the landmarks, for ``ROUNDS`` rounds.
 
 The machine is fitted on a bounded sample of labelled rows: ``TOXIC_DOCS`` and ``CLEAN_DOCS`` documents by the hash
@@ -72,6 +73,10 @@ KNOWN_GRAMS = 20_000
 SURE = 10.0
 TWIN = 10
 COST = 10.0
+
+# Letters of a stretch that is also shown with a letter put in, and the share of the cost that this has.
+MANGLED = (4, 11)
+MANGLED_SHARE = 0.5
 SLOPE = 3.0
 FOLDS = 5
 
@@ -81,10 +86,11 @@ POINTS = 1 << 16
 
 # Stretches scored at once, and scores that a worker remembers.
 BATCH = 4096
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
-# Code points of texts whose stretches are looked up together.
+# Code points of texts whose stretches are looked up together, and texts that are unpacked together.
 TOGETHER = 1 << 22
+TEXTS = 512
 
 # Signs that stand around words.
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—"
@@ -326,6 +332,14 @@ class ToxicityModel:
         return lambda found: weighted(found) + self.bias
 
 
+def with_insertions(stretch: str) -> list[str]:
+    """The stretch with a letter that it lacks put in at each inner place; none if it is too short or long."""
+    other = next((c for c in "xqzjk" if c not in stretch), None)
+    if other is None or not stretch.isalnum() or not MANGLED[0] <= len(stretch) <= MANGLED[1]:
+        return []
+    return [stretch[:i] + other + stretch[i:] for i in range(1, len(stretch))]
+
+
 def fit_machine(positives: dict[str, float], negatives: list[str], landmarks: list[str]) -> ToxicityModel:
     """The machine for positive stretches, each with its share of the cost, and negative ones."""
     known = Landmarks(landmarks)
@@ -505,10 +519,16 @@ def train(
     negatives = [
         r.stretch for r in clean.orderBy(F.xxhash64("stretch"), "stretch").limit(NEGATIVES).collect()
     ]
+    shown = list(positives)[:LANDMARKS]
+    clean_ones = set(negatives)
+    for stretch in shown:
+        for mangled in with_insertions(stretch):
+            if mangled not in clean_ones:
+                positives.setdefault(mangled, MANGLED_SHARE)
     hard: list[str] = []
     model = ToxicityModel((), (), 0.0)
     for turn in range(ROUNDS):
-        landmarks = list(dict.fromkeys([*list(positives)[:LANDMARKS], *hard[:LANDMARKS], *negatives[: LANDMARKS // 2]]))
+        landmarks = list(dict.fromkeys([*shown, *hard[:LANDMARKS], *negatives[: LANDMARKS // 2]]))
         model = fit_machine(positives, [*negatives, *hard], landmarks)
         if turn < ROUNDS - 1:
             worst = scored_stretches(clean, model).orderBy(F.desc("f"), "stretch").limit(HARD)
@@ -572,12 +592,12 @@ def scored(
     """Per row: the id, ``score`` and ``worst``, the stretch that the score comes from."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
+        for some in (part.slice(low, TEXTS) for part in parts for low in range(0, part.num_rows, TEXTS)):
+            texts = [t.decode("utf-8", "replace") for t in some.column(1).to_pylist()]
             found = text_scores(texts, model)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0),
+                    some.column(0),
                     pa.array([s for s, _ in found], pa.float64()),
                     pa.array([w for _, w in found], pa.string()),
                 ],
