@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
+from types import TracebackType
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where the tables lie that ``staged`` gave out, and the workspace that owns new ones.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_OPEN: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
+
 
 def build_session(name: str = "staylens", cpus: int | None = None) -> SparkSession:
     """A session with runtime re-planning on; ``cpus`` asks for a local one.
@@ -39,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="staylens-")
     if not context.getCheckpointDir():
@@ -57,8 +64,70 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Model fitting makes several passes over its input. Reading a written table keeps those
     passes cheap and identical, and a lost executor costs a re-read, not the whole lineage.
+    The open ``Workspace`` owns the table; without one it stays until someone deletes it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    owner = _OPEN.get()
+    if owner is not None:
+        # Known before it is written: a write that fails leaves files too.
+        owner.paths.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Workspace:
+    """Owns the tables staged while it is open and removes them when it closes.
+
+    What the caller gets must be written (``staged``) and kept (``keep``): a plan that reads a removed table
+    fails. A kept table belongs to the workspace around this one, if there is one. ``release`` removes a
+    table early, once the last table made from it is written. Errors remove everything.
+
+        with Workspace(spark) as work:
+            counts = staged(per_word(texts), "counts")
+            return work.keep(staged(weights(counts), "weights"))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: set[str] = set()
+
+    def __enter__(self) -> Workspace:
+        self._outer = _OPEN.get()
+        self._token = _OPEN.set(self)
+        return self
+
+    def __exit__(
+        self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None
+    ) -> None:
+        _OPEN.reset(self._token)
+        for path in sorted(self.paths):
+            remove_path(self.spark, path)
+        self.paths.clear()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Hand a staged table to the workspace around this one, or to the caller."""
+        path = _PATHS.get(table)
+        if path is None:
+            raise ValueError("only a table that staged() returned can be kept")
+        if path in self.paths:
+            self.paths.remove(path)
+            if self._outer is not None:
+                self._outer.paths.add(path)
+        return table
+
+    def release(self, *tables: DataFrame) -> None:
+        """Remove staged tables that nothing reads any more; those of other owners stay."""
+        for table in tables:
+            path = _PATHS.get(table)
+            if path in self.paths:
+                self.paths.remove(path)
+                remove_path(self.spark, path)

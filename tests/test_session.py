@@ -1,10 +1,11 @@
 """Where written tables go."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
-from staylens.session import fresh_path, shared_folder, staged
+from staylens.session import Workspace, fresh_path, shared_folder, staged
 
 
 class Context:
@@ -34,6 +35,11 @@ def test_a_cluster_without_a_folder_is_refused():
         shared_folder(session("yarn"))
 
 
+def test_a_local_cluster_is_a_cluster():
+    with pytest.raises(RuntimeError):
+        shared_folder(session("local-cluster[3,2,1024]"))
+
+
 def test_a_local_session_makes_its_own_once():
     local = session("local[2]")
     assert shared_folder(local) == shared_folder(local)
@@ -44,3 +50,53 @@ def test_staged_tables_hold_the_same_rows(spark):
     table = staged(df, "numbers")
     assert table.schema.names == ["n"] and table.exceptAll(df).isEmpty() and table.count() == 10
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def tables_in(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "staylens"
+    return {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_a_workspace_removes_what_it_does_not_keep(spark):
+    before = tables_in(spark)
+    with Workspace(spark) as work:
+        one = staged(spark.range(10), "ws-one")
+        two = staged(one.filter("id > 4"), "ws-two")
+        work.release(one)
+        assert tables_in(spark) - before == {"ws-two"}
+        staged(two, "ws-three")
+        kept = work.keep(two)
+    assert tables_in(spark) - before == {"ws-two"}
+    assert kept.count() == 5
+    with Workspace(spark) as work:
+        # A table of another owner is neither kept twice nor released.
+        assert work.keep(kept) is kept
+        work.release(kept)
+        with pytest.raises(ValueError, match="staged"):
+            work.keep(spark.range(3))
+    assert kept.count() == 5
+
+
+def test_workspaces_inside_each_other(spark):
+    before = tables_in(spark)
+    with Workspace(spark) as outer:
+        with Workspace(spark) as inner:
+            staged(spark.range(1), "ws-inner")
+            middle = inner.keep(staged(spark.range(3), "ws-middle"))
+        assert tables_in(spark) - before == {"ws-middle"}
+        result = outer.keep(staged(middle.filter("id > 0"), "ws-result"))
+    assert tables_in(spark) - before == {"ws-result"}
+    assert result.count() == 2
+
+
+def test_an_error_removes_everything(spark):
+    before = tables_in(spark)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"), Workspace(spark):
+        staged(spark.range(3), "ws-fine")
+        staged(spark.range(3).selectExpr("assert_true(id < 0, 'zero')"), "ws-broken")
+    assert tables_in(spark) == before
+
+
+def test_a_session_without_a_workspace_keeps_tables(spark):
+    table = staged(spark.range(2), "ws-free")
+    assert "ws-free" in tables_in(spark) and table.count() == 2
