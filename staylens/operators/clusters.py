@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel, KMeans, KMeansModel
@@ -52,6 +53,11 @@ def cluster_count(support: DataFrame, hotels_per_cluster: int) -> int:
     return max(2, -(-support.count() // hotels_per_cluster))
 
 
+def root_count(support: DataFrame) -> int:
+    """The square root of the hotels: as many clusters as plain K-means, which compares all, can bear."""
+    return max(2, math.isqrt(support.count()))
+
+
 def _assembled(points: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(points)
 
@@ -67,7 +73,8 @@ def train_clusters(
     """K-means from random starting centres, or by halving groups with ``method="bisecting"``.
 
     Plain K-means compares every row with every centre in each pass; halving compares it with two
-    on each level, so with very many clusters it takes about log k steps instead of k.
+    on each level, so with very many clusters it takes about log k steps instead of k. Both keep their
+    centres on the driver; ``cluster_tree`` does not.
     """
     if method == "bisecting":
         means = BisectingKMeans(k=k, maxIter=max_iterations, seed=seed, predictionCol="cluster_id")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A table is broadcast only while it is known to be smaller than this.
-BROADCAST_BYTES = 256 * 1024 * 1024
+# A table is broadcast only while it is known to be smaller than this, or than the session's own
+# threshold where that is larger.
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 # What a row costs in a hash table besides its values.
 ROW_OVERHEAD = 64
@@ -15,20 +16,28 @@ ROW_OVERHEAD = 64
 FIXED_WIDTH = (T.NumericType, T.DateType, T.BooleanType)
 
 
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES, extra_columns: int = 0) -> bool:
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes that this session lets be broadcast."""
+    own = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return max(BROADCAST_BYTES, own)
+
+
+def fits_broadcast(table: DataFrame, limit: int | None = None, extra_columns: int = 0) -> bool:
     """Whether the whole table is small: its counted rows times the width of a row.
 
     Meant for written tables, where the count comes from file footers. A table with text or
     nested columns has no fixed width and never counts as small. ``extra_columns`` are numbers
-    that will be added to its rows.
+    that will be added to its rows. ``limit`` takes the place of the session's.
     """
+    if limit is None:
+        limit = broadcast_limit(table.sparkSession)
     if not all(isinstance(f.dataType, FIXED_WIDTH) for f in table.schema):
         return False
     width = ROW_OVERHEAD + 8 * (len(table.columns) + extra_columns)
     return table.count() * width <= limit
 
 
-def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(table: DataFrame, limit: int | None = None) -> DataFrame:
     """The table with a broadcast hint if it fits; else as it is, for Spark to decide.
 
     Without the hint a large side is sorted and merged, and hot keys are split at run time.

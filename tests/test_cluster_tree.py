@@ -150,3 +150,22 @@ def test_without_broadcast(spark):
     finally:
         cluster_tree.fits_broadcast = was
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_groups_that_no_task_could_hold(spark):
+    """Groups above the bound are split by Spark's joins, and only what is small enough by a task."""
+    points = staged(blobs(spark, 900), "points")
+    tree = cluster_tree.fit_tree(points, XY, k=150, max_iterations=3, group_rows=100)
+    assigned = {r.hotel_id: r.cluster_id for r in cluster_tree.assign_tree(tree, points).collect()}
+    expected, _ = plain_descent(tree, points)
+    assert assigned == expected
+    nodes = tree.centres.collect()
+    assert len({n.node for n in nodes}) == len(nodes)
+    by_level = {level: sum(n.level == level for n in nodes) for level in range(tree.depth + 1)}
+    assert by_level[0] == 1 and by_level[1] <= cluster_tree.BRANCH and tree.depth >= 2
+    weights = {n.node: n.weight for n in nodes}
+    for n in nodes:
+        if not n.leaf:
+            assert sum(m.weight for m in nodes if m.parent == n.node) == weights[n.node]
+    leaves = sum(n.leaf for n in nodes)
+    assert 0.6 * 150 <= leaves <= 1.4 * 150
