@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staylens.operators.best_items import best_unrated
 from staylens.operators.cleaning import hash_split
+from staylens.operators.id_book import grown_book, with_ids, with_numbers
 from staylens.operators.ratings import (
     rated_plus_predicted,
     rating_errors,
@@ -38,7 +40,7 @@ def train_als(
     seed: int = SEED,
     blocks: int | None = None,
 ) -> ALSModel:
-    """Fit the factors. Spark refuses ids beyond the integer range; it never cuts them short.
+    """Fit the factors. Spark refuses ids beyond the integer range; ``train_with_ids`` takes any.
 
     Spark checkpoints the factors while iterating, into the folder the session names.
     ``blocks`` sets how many parts the users and items are divided into.
@@ -120,21 +122,75 @@ def completed(ratings: DataFrame, model: ALSModel, num_users: int) -> DataFrame:
 def recommend_items(ratings: DataFrame, model: ALSModel, users: DataFrame, k: int) -> DataFrame:
     """(user, item, prediction, place): the ``k`` best items that each user has not rated.
 
-    ``users`` has the column ``user``. The model ranks items of these users alone, as many more
-    than k as the user with most ratings may have rated; those rated are then taken out.
+    ``users`` has the column ``user``. Not all pairs are scored: see ``best_items``.
     """
-    wanted = users.select("user").distinct()
-    rated = ratings.join(wanted, "user", "left_semi").select("user", "item").distinct()
-    most = rated.groupBy("user").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    ranked = model.recommendForUserSubset(wanted, k + most)
-    rows = ranked.select("user", F.inline("recommendations"))
-    rows = rows.withColumns({c: F.col(c).cast(ratings.schema[c].dataType) for c in ("user", "item")})
-    fresh = rows.join(rated, ["user", "item"], "left_anti")
-    best = Window.partitionBy("user").orderBy(F.col("rating").desc(), F.col("item"))
-    placed = fresh.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    return placed.select(
-        "user", "item", F.col("rating").cast("double").alias("prediction"), "place"
+    found = best_unrated(ratings, model, users, k)
+    return found.withColumns({c: F.col(c).cast(ratings.schema[c].dataType) for c in ("user", "item")})
+
+
+@dataclass(frozen=True)
+class IdRecommender:
+    """A model of numbers with the books that say which user or item a number stands for."""
+
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """Rows whose user and item the books have, with ``user_number`` and ``item_number``."""
+        known = with_numbers(rows, "user", self.users, "user_number")
+        return with_numbers(known, "item", self.items, "item_number")
+
+
+def train_with_ids(
+    ratings: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None, **options
+) -> IdRecommender:
+    """``train_als`` for user and item ids of any type.
+
+    ``users`` and ``items`` are the books of an earlier model; their ids keep their numbers.
+    """
+    users, items = grown_book(ratings, "user", users), grown_book(ratings, "item", items)
+    books = IdRecommender(None, users, items)
+    numbers = books.numbered(ratings).select(
+        F.col("user_number").alias("user"), F.col("item_number").alias("item"), "rating"
+    )
+    return IdRecommender(train_als(numbers, **options), users, items)
+
+
+def predict_with_ids(found: IdRecommender, pairs: DataFrame) -> DataFrame:
+    """``predict`` for pairs of ids; pairs that the model has not seen are left out."""
+    numbers = found.numbered(pairs).withColumnsRenamed({"user": "user_id", "item": "item_id"})
+    numbers = numbers.withColumnsRenamed({"user_number": "user", "item_number": "item"})
+    scored = predict(found.model, numbers).drop("user", "item")
+    renamed = scored.withColumnsRenamed({"user_id": "user", "item_id": "item"})
+    return renamed.select(*pairs.columns, "prediction")
+
+
+def recommend_with_ids(found: IdRecommender, ratings: DataFrame, users: DataFrame, k: int) -> DataFrame:
+    """``recommend_items`` for ids of any type: (user, item, prediction, place)."""
+    rated = found.numbered(ratings.select("user", "item")).select(
+        F.col("user_number").alias("user"), F.col("item_number").alias("item")
+    )
+    wanted = with_numbers(users.select("user"), "user", found.users, "number").select(
+        F.col("number").alias("user")
+    )
+    best = best_unrated(rated, found.model, wanted, k)
+    named = best.withColumnsRenamed({"user": "user_number", "item": "item_number"})
+    rows = with_ids(with_ids(named, "user_number", found.users, "user"), "item_number", found.items, "item")
+    return rows.select("user", "item", "prediction", "place")
+
+
+def by_hand(model: ALSModel, pairs: DataFrame) -> DataFrame:
+    """Pairs that the model knows with ``by_hand``, the sum of their factors' products in 64 bits."""
+    factors = lambda table, number, name: table.select(
+        F.col("id").alias(number), F.transform("features", lambda x: x.cast("double")).alias(name)
+    )
+    joined = pairs.join(factors(model.userFactors, "user", "user_factors"), "user").join(
+        factors(model.itemFactors, "item", "item_factors"), "item"
     )
+    products = F.zip_with("user_factors", "item_factors", lambda a, b: a * b)
+    total = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+    return joined.withColumn("by_hand", total).drop("user_factors", "item_factors")
 
 
 def complete_ratings(
