@@ -53,7 +53,7 @@ def fit_and_score(spark, folder: str) -> dict[str, float]:
         hotels_per_cluster=HOTELS_PER_CLUSTER,
     )
     fitted = time.perf_counter()
-    scored = flows.score_searches(standins.searches(spark, folder), model.support, model.forest)
+    scored = flows.score_searches(standins.searches(spark, folder), model.support, model.compiled)
     scored.write.format("noop").mode("overwrite").save()
     return {"value_model_fit": fitted - start, "value_model_score": time.perf_counter() - fitted}
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from staylens.operators import content as ops
 from staylens.operators import recommender
 from staylens.operators.affinity import user_feature_affinity as affinity_of
-from staylens.operators.ratings import distinct_items
+from staylens.operators.ratings import (
+    distinct_items,
+    rated_plus_predicted,
+    unrated_pairs,
+    user_item_pairs,
+    user_subset,
+)
 from staylens.plans import flows
 from staylens.plans import oracle_parts as parts
 from staylens.plans.rating_queries import NUM_USERS
@@ -133,13 +139,22 @@ done AS (
   UNION ALL
   SELECT "user", item FROM unrated u WHERE EXISTS (SELECT 1 FROM rated r WHERE r."user" = u."user")
 )
-SELECT DISTINCT "user", feature, true AS finite FROM done JOIN tf USING (item)""",
+SELECT DISTINCT "user", feature, true AS same FROM done JOIN tf USING (item)""",
 )
 def user_feature_affinity_als(spark, folder):
-    """Whom known and predicted ratings of the user subset give an affinity, and to which words."""
+    """Whom known and predicted ratings of the user subset give an affinity, and to which words.
+
+    ``same`` tells whether predictions worked out from the factors by hand give the same affinity.
+    """
     rated = standins.ratings(spark, folder)
     model = recommender.train_als(rated)
-    found = flows.recommend_features(rated, _content(spark, folder), model, NUM_USERS)
-    value = F.col("affinity")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return found.select("user", "feature", finite.alias("finite"))
+    content = _content(spark, folder)
+    found = flows.recommend_features(rated, content, model, NUM_USERS)
+    own = user_subset(rated, NUM_USERS)
+    pairs = unrated_pairs(user_item_pairs(rated, NUM_USERS), own)
+    by_hand = recommender.by_hand(model, pairs).withColumnRenamed("by_hand", "prediction")
+    weights = ops.tfidf_long(content, items=distinct_items(rated))
+    again = affinity_of(rated_plus_predicted(own, by_hand), weights).withColumnRenamed("affinity", "again")
+    gap = F.abs(F.col("affinity") - F.col("again"))
+    same = F.coalesce(gap <= 1e-4 * (1 + F.abs("again")), F.lit(False))
+    return found.join(again, ["user", "feature"], "full").select("user", "feature", same.alias("same"))

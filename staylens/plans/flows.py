@@ -10,7 +10,7 @@ from pyspark.ml.clustering import BisectingKMeansModel, KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.operators import clusters, forest, value
+from staylens.operators import cluster_tree, clusters, forest, forest_table, value
 from staylens.operators.affinity import user_feature_affinity
 from staylens.operators.cleaning import hash_split
 from staylens.operators.content import tfidf_long
@@ -20,29 +20,42 @@ from staylens.operators.ratings import distinct_items
 from staylens.operators.recommender import completed
 from staylens.operators.scaling import scaled_names
 from staylens.operators.stays import LEAD, SEARCH, lead_features, search_features
-from staylens.session import staged
+from staylens.session import Workspace, staged
 
 POINT_COLUMNS = scaled_names(clusters.CLUSTER_FEATURES)
 
+ClusterModel = cluster_tree.ClusterTree | KMeansModel | BisectingKMeansModel
+
 
 def hotel_clusters(
-    support: DataFrame, k: int, seed: int = 1, axis: str = "row", method: str = "kmeans"
-) -> tuple[KMeansModel | BisectingKMeansModel, DataFrame]:
-    """Fit clusters on the hotels and give each hotel its own (``z_*`` columns kept)."""
+    support: DataFrame, k: int, seed: int = 1, axis: str = "row", method: str = "tree"
+) -> tuple[ClusterModel, DataFrame]:
+    """Fit clusters on the hotels and give each hotel its own (``z_*`` columns kept).
+
+    ``tree`` compares a hotel with the centres of its own group alone and so suits very many clusters;
+    ``kmeans`` compares it with all of them, ``bisecting`` halves groups.
+    """
     points = staged(clusters.clustering_points(support, axis), "points")
+    if method == "tree":
+        tree = cluster_tree.fit_tree(points, POINT_COLUMNS, k=k, seed=seed)
+        return tree, cluster_tree.assign_tree(tree, points)
     model = clusters.train_clusters(points, POINT_COLUMNS, k=k, seed=seed, method=method)
     return model, clusters.assign_clusters(model, points, POINT_COLUMNS)
 
 
 @dataclass(frozen=True)
 class ValueModel:
-    """A fitted flow: the forest, the clusters, the support table and the held-out scores."""
+    """A fitted flow: the forest, the clusters, the support table and the held-out scores.
+
+    ``compiled`` is the forest as SQL.
+    """
 
     forest: PipelineModel
-    clusters: KMeansModel | BisectingKMeansModel | None
+    clusters: ClusterModel | None
     support: DataFrame
     labelled: DataFrame
     held_out: DataFrame
+    compiled: forest_table.ForestSql
 
 
 def train_value_model(
@@ -52,7 +65,7 @@ def train_value_model(
     k: int = clusters.DEFAULT_K,
     seed: int = 1,
     axis: str = "row",
-    method: str = "kmeans",
+    method: str = "tree",
     hotels_per_cluster: int | None = None,
     given: DataFrame | None = None,
     out_of_range: str = "error",
@@ -60,43 +73,51 @@ def train_value_model(
     """Support table, clusters, labels, then a forest on 70 % of all leads.
 
     ``hotels_per_cluster`` sets k by the number of hotels. ``given`` (hotel_id, cluster_id) takes the
-    place of fitted clusters. ``out_of_range``: see ``forest.prepared``.
+    place of fitted clusters. ``out_of_range``: see ``forest.prepared``. Of the tables written on the way
+    the support table, the train matrix and the centres stay, the others are removed.
     """
-    support = staged(support_table(places, hotels), "support")
-    if given is not None:
-        means, assigned = None, given
-    else:
-        if hotels_per_cluster is not None:
-            k = clusters.cluster_count(support, hotels_per_cluster)
-        means, assigned = hotel_clusters(support, k, seed, axis, method)
-    grouped = staged(value.clustered_hotels(support, assigned), "clustered-hotels")
-    small = fits_broadcast(grouped, extra_columns=1)
-    labelled = value.value_label(lead_features(leads), grouped, hotels_fit=small)
-    matrix = staged(
-        hash_split(value.train_matrix(labelled), ["lead_id"], 0.7, seed), "train-matrix"
-    )
-    model = forest.train_forest(matrix.filter(F.col("split") == "train"), LEAD, seed, out_of_range=out_of_range)
-    held_out = forest.score(
-        model, matrix.filter(F.col("split") == "test"), LEAD, out_of_range=out_of_range
+    spark = hotels.sparkSession
+    with Workspace(spark) as work:
+        support = work.keep(staged(support_table(places, hotels), "support"))
+        if given is not None:
+            means, assigned = None, given
+        else:
+            if hotels_per_cluster is not None:
+                k = clusters.cluster_count(support, hotels_per_cluster)
+            means, assigned = hotel_clusters(support, k, seed, axis, method)
+        grouped = staged(value.clustered_hotels(support, assigned), "clustered-hotels")
+        small = fits_broadcast(grouped, extra_columns=1)
+        labelled = value.value_label(lead_features(leads), grouped, hotels_fit=small)
+        split = hash_split(value.train_matrix(labelled), ["lead_id"], 0.7, seed)
+        matrix = work.keep(staged(split, "train-matrix"))
+        train = matrix.filter(F.col("split") == "train")
+        model = forest.train_forest(train, LEAD, seed, out_of_range=out_of_range)
+        compiled = forest_table.forest_sql(forest_table.forest_nodes(spark, model))
+        if isinstance(means, cluster_tree.ClusterTree):
+            work.keep(means.centres)
+    held_out = forest_table.score_sql(
+        compiled, matrix.filter(F.col("split") == "test"), LEAD, out_of_range=out_of_range
     )
-    return ValueModel(model, means, support, matrix, held_out)
+    return ValueModel(model, means, support, matrix, held_out, compiled)
 
 
 def score_searches(
     searches: DataFrame,
     support: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | forest_table.ForestSql,
     out_of_range: str = "error",
     ids: Sequence[str] = (),
 ) -> DataFrame:
     """Every search with a known hotel: prediction 1 for great value, 0 for not, ids kept.
 
+    A compiled forest scores in one projection, a fitted one through its vectors; the scores are the same.
+
     ``support`` is a written table; it is broadcast if its counted rows are few enough. ``ids``
     are further id columns to keep, such as ``usersearch_id``.
     """
     known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
     matrix = value.score_matrix(search_features(searches, ids=ids), known, ids)
-    return forest.score(model, matrix, SEARCH, out_of_range=out_of_range)
+    return forest_table.score_with(model, matrix, SEARCH, out_of_range)
 
 
 def recommend_features(ratings: DataFrame, content: DataFrame, model, num_users: int) -> DataFrame:

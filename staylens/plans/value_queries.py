@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from staylens.operators import cleaning, clusters, forest, scaling, stays, value
+from staylens.operators import cleaning, cluster_tree, clusters, forest, forest_table, scaling, stays, value
+from staylens.operators.joins import broadcast_if_small
 from staylens.plans import flows
 from staylens.plans import oracle_parts as parts
 from staylens.plans.booking_queries import support
 from staylens.plans.registry import query, rounded
-from staylens.session import fresh_path
+from staylens.session import fresh_path, staged
 from staylens.sources import files, standins
 
 # Hotels for each fitted cluster: the number of clusters grows with the table.
@@ -40,15 +45,22 @@ def _value_model(spark, folder, given=None):
     )
 
 
-def _fitted_clusters(spark, folder, method="kmeans"):
+def _tree(spark, folder):
     known = support(spark, folder)
-    k = clusters.cluster_count(known, HOTELS_PER_CLUSTER)
-    model, assigned = flows.hotel_clusters(known, k, method=method)
-    return k, model, assigned
+    return flows.hotel_clusters(known, clusters.cluster_count(known, HOTELS_PER_CLUSTER))
+
+
+def _plain_clusters(spark, folder, method):
+    """Clusters by Spark's own estimators; as these compare a row with many centres, k is a root of the hotels."""
+    known = support(spark, folder)
+    model, assigned = flows.hotel_clusters(known, clusters.root_count(known), method=method)
+    return model, assigned
 
 
-def _share(column):
-    return (F.col(column) >= 0) & (F.col(column) <= 1)
+def _gap(left, right):
+    """Squared distance of two points whose columns bear the prefixes."""
+    columns = [F.col(f"{left}{c}") - F.col(f"{right}{c}") for c in flows.POINT_COLUMNS]
+    return reduce(add, [c * c for c in columns])
 
 
 @query(
@@ -220,40 +232,75 @@ def hash_split(spark, folder):
     return cleaning.hash_split(standins.table(spark, folder, "lineitem").select(*key), key)
 
 
-# What a fitted model gives is checked in its operator's tests. The queries below return what holds
-# for any sound model.
+# A fitted model has no SQL. The queries below work its results out a second, independent way and return
+# where the two differ.
 
 
-@query("kmeans_clusters", f"WITH {parts.SUPPORT} SELECT hotel_id, true AS placed FROM support")
-def kmeans_clusters(spark, folder):
-    """Every hotel, and whether it has one of the fitted clusters."""
-    k, _, assigned = _fitted_clusters(spark, folder)
-    inside = (F.col("cluster_id") >= 0) & (F.col("cluster_id") < k)
-    return assigned.select("hotel_id", inside.alias("placed"))
+def _nearest_of_all(assigned, centres):
+    """The sum of squared distances to the nearest of all centres, which are a root of the hotels."""
+    names = [f"c_{c}" for c in flows.POINT_COLUMNS]
+    every = centres.agg(F.collect_list(F.struct(*names))).scalar()
+
+    def squared(centre):
+        gaps = [F.col(c) - centre[f"c_{c}"] for c in flows.POINT_COLUMNS]
+        return reduce(add, [g * g for g in gaps])
+
+    least = F.array_min(F.transform("every", squared))
+    return assigned.withColumn("every", every).agg(F.sum(least)).scalar()
+
+
+def _same(left, right):
+    """Equal but for the last digits, relative to the larger."""
+    return F.abs(left - right) <= 1e-9 * (1 + F.greatest(F.abs(left), F.abs(right)))
+
 
+TREE_LEVELS = f"""WITH {parts.SUPPORT} SELECT hotel_id, true AS nearest FROM support"""
 
-@query("bisecting_clusters", f"WITH {parts.SUPPORT} SELECT hotel_id, true AS placed FROM support")
+
+@query("kmeans_clusters", TREE_LEVELS)
+def kmeans_clusters(spark, folder):
+    """Every hotel, and whether each centre on its way down is the nearest of the group's."""
+    tree, assigned = _tree(spark, folder)
+    names = [f"c_{c}" for c in flows.POINT_COLUMNS]
+    centres = staged(tree.centres.select("parent", "node", *names), "tree-check")
+    family = centres.select("parent", "node", *names)
+    # From the leaf up: the hotel's node on each level beside all nodes of the same parent.
+    at = assigned.select("hotel_id", *flows.POINT_COLUMNS, F.col("cluster_id").alias("node"))
+    checks = None
+    for _ in range(tree.depth):
+        own = at.join(family.filter("parent is not null"), "node").withColumn("own", _gap("", "c_")).drop(*names)
+        others = own.join(family.withColumnRenamed("node", "other"), "parent").withColumn("gap", _gap("", "c_"))
+        level = others.groupBy("hotel_id").agg((F.max("own") <= F.min("gap") + 1e-9).alias("nearest"))
+        checks = level if checks is None else checks.unionByName(level)
+        at = own.select("hotel_id", *flows.POINT_COLUMNS, F.col("parent").alias("node"))
+    if checks is None:
+        return at.select("hotel_id", F.lit(True).alias("nearest"))
+    return checks.groupBy("hotel_id").agg(F.min("nearest").alias("nearest"))
+
+
+@query("bisecting_clusters", f"WITH {parts.SUPPORT} SELECT hotel_id, true AS same_cost FROM support")
 def bisecting_clusters(spark, folder):
-    """The same with clusters found by halving, which suits very many of them."""
-    k, _, assigned = _fitted_clusters(spark, folder, "bisecting")
-    inside = (F.col("cluster_id") >= 0) & (F.col("cluster_id") < k)
-    return assigned.select("hotel_id", inside.alias("placed"))
+    """Every hotel with clusters by halving, and whether distances to their centres sum to the model's own cost."""
+    known = support(spark, folder)
+    k = clusters.cluster_count(known, HOTELS_PER_CLUSTER)
+    model, assigned = flows.hotel_clusters(known, k, method="bisecting")
+    centres = clusters.model_centres(spark, model, flows.POINT_COLUMNS)
+    cost = assigned.join(staged(centres, "centres"), "cluster_id").agg(F.sum(_gap("", "c_")))
+    same = _same(cost.scalar(), F.lit(float(model.summary.trainingCost)))
+    return assigned.select("hotel_id", same.alias("same_cost"))
 
 
 @query(
     "kmeans_cost",
-    f"WITH {parts.SUPPORT} SELECT count(*) AS points, true AS no_higher FROM support",
+    f"WITH {parts.SUPPORT} SELECT count(*) AS points, true AS same FROM support",
 )
 def kmeans_cost(spark, folder):
-    """The cost of the fitted clusters, and whether its squares are within those of training.
-
-    Training states the cost before it moves the centres for the last time, which can only lower it.
-    """
-    _, model, assigned = _fitted_clusters(spark, folder)
-    centres = clusters.model_centres(spark, model, flows.POINT_COLUMNS)
+    """The cost of plain K-means, and whether it is that of every hotel's nearest of all centres."""
+    model, assigned = _plain_clusters(spark, folder, "kmeans")
+    centres = staged(clusters.model_centres(spark, model, flows.POINT_COLUMNS), "centres")
     cost = clusters.cluster_cost(assigned, centres, flows.POINT_COLUMNS)
-    own = model.summary.trainingCost
-    return cost.select("points", (F.col("sum_squared") <= own * (1 + 1e-9)).alias("no_higher"))
+    least = _nearest_of_all(assigned, centres)
+    return cost.select("points", _same(F.col("sum_squared"), least).alias("same"))
 
 
 @query(
@@ -263,11 +310,29 @@ SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM support""",
 )
 def kmeans_model_files(spark, folder):
     """Clusters from a saved and loaded model against those of the model itself."""
-    _, model, assigned = _fitted_clusters(spark, folder)
+    model, assigned = _plain_clusters(spark, folder, "kmeans")
     path = fresh_path(spark, "kmeans")
     files.save_model(model, path)
     points = assigned.drop("cluster_id")
     again = clusters.assign_clusters(KMeansModel.load(path), points, flows.POINT_COLUMNS)
+    return _differing(assigned, again)
+
+
+@query(
+    "cluster_tree_files",
+    f"""WITH {parts.SUPPORT}
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM support""",
+)
+def cluster_tree_files(spark, folder):
+    """Clusters from a saved and loaded tree of clusters against those of the tree itself."""
+    tree, assigned = _tree(spark, folder)
+    path = fresh_path(spark, "cluster-tree")
+    cluster_tree.save_tree(tree, path)
+    points = assigned.drop("cluster_id")
+    return _differing(assigned, cluster_tree.assign_tree(cluster_tree.load_tree(spark, path), points))
+
+
+def _differing(assigned, again):
     both = assigned.select("hotel_id", "cluster_id").join(
         again.select("hotel_id", F.col("cluster_id").alias("again")), "hotel_id"
     )
@@ -276,16 +341,31 @@ def kmeans_model_files(spark, folder):
 
 
 HELD_OUT = f"""WITH {parts.LABELLED}
-SELECT lead_id, gooddeal, true AS sound FROM labelled
+SELECT lead_id, gooddeal, true AS same FROM labelled
 WHERE ('0x' || substr(md5(concat_ws('|', '1', lead_id)), 1, 8))::BIGINT % 10000 >= 7000"""
 
 
+def _both_ways(model, matrix, kind):
+    """The matrix' ids and whether the fitted forest and its SQL agree on the row."""
+    kept = [c for c in matrix.columns if c not in forest.model_inputs(kind)]
+    ready = forest.prepared(matrix, kind)
+    votes = [F.expr(v).alias(f"votes_{i}") for i, v in enumerate(model.compiled.votes)]
+    fitted = model.forest.transform(ready).select(
+        *kept, *votes, "prediction", F.get(vector_to_array("probability"), F.lit(1)).alias("probability")
+    )
+    none, some = F.col("votes_0"), F.col("votes_1")
+    same = _same(F.col("probability"), some / (none + some)) & (
+        F.col("prediction") == F.when(some > none, 1.0).otherwise(0.0)
+    )
+    return fitted.select(*kept, same.alias("same"))
+
+
 @query("rf_train_score", HELD_OUT)
 def rf_train_score(spark, folder):
-    """Held-out leads of the given clusters with their label, and whether each score is sound."""
-    held = _value_model(spark, folder, standins.brand_clusters(spark, folder)).held_out
-    sound = F.col("prediction").isin(0, 1) & _share("probability")
-    return held.select("lead_id", "gooddeal", sound.alias("sound"))
+    """Held-out leads of the given clusters with their label, and whether the forest and its SQL agree."""
+    model = _value_model(spark, folder, standins.brand_clusters(spark, folder))
+    held = model.labelled.filter(F.col("split") == "test")
+    return _both_ways(model, held, stays.LEAD).select("lead_id", "gooddeal", "same")
 
 
 @query(
@@ -293,7 +373,7 @@ def rf_train_score(spark, folder):
     f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM ({HELD_OUT})""",
 )
 def rf_model_files(spark, folder):
-    """Scores of a saved and loaded forest against those of the forest itself."""
+    """Scores of a saved and loaded forest against those of the compiled one."""
     model = _value_model(spark, folder, standins.brand_clusters(spark, folder))
     path = fresh_path(spark, "forest")
     files.save_model(model.forest, path)
@@ -306,28 +386,47 @@ def rf_model_files(spark, folder):
     return both.agg(F.count("*").alias("rows"), F.count_if(differs).alias("differing"))
 
 
+@query(
+    "rf_tree_table",
+    f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM ({HELD_OUT})""",
+)
+def rf_tree_table(spark, folder):
+    """Scores found by walking the forest's table of nodes against those of the fitted forest."""
+    model = _value_model(spark, folder, standins.brand_clusters(spark, folder))
+    nodes = forest_table.forest_nodes(spark, model.forest)
+    rows = model.labelled.filter(F.col("split") == "test")
+    ready = forest.prepared(rows, stays.LEAD).select("lead_id", *forest.model_inputs(stays.LEAD).values())
+    walked = forest_table.walk(nodes, ready, ["lead_id"], forest.DEPTH)
+    fitted = forest.score(model.forest, rows, stays.LEAD).select(
+        "lead_id", F.col("prediction").alias("guess"), F.col("probability").alias("again")
+    )
+    both = walked.join(fitted, "lead_id")
+    same = _same(F.col("probability"), F.col("again")) & (F.col("prediction") == F.col("guess"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(~same).alias("differing"))
+
+
 @query(
     "rf_description",
     f"""SELECT unnest([{", ".join(f"'{n}'" for n in forest.model_inputs("lead").values())}]) AS feature,
-       CAST(1 AS DOUBLE) AS all_weights""",
+       true AS same""",
 )
 def rf_description(spark, folder):
-    """The inputs of the forest, and the sum of their weights."""
-    weights = forest.describe_forest(spark, _value_model(spark, folder).forest)
-    total = weights.agg(F.round(F.sum("importance"), 6)).scalar()
-    return weights.select("feature", total.alias("all_weights"))
+    """The inputs of the forest, and whether their weights follow from the gains in its table of nodes."""
+    model = _value_model(spark, folder).forest
+    stated = forest.describe_forest(spark, model)
+    found = forest_table.importances(forest_table.forest_nodes(spark, model))
+    both = stated.join(found.withColumnRenamed("importance", "again"), "feature")
+    return both.select("feature", _same(F.col("importance"), F.col("again")).alias("same"))
 
 
 @query(
     "score_search",
     f"""WITH {parts.SUPPORT},{parts.stays("search")}
-SELECT search_id, hotel_id, true AS sound FROM search JOIN support USING (hotel_id)""",
+SELECT search_id, hotel_id, true AS same FROM search JOIN support USING (hotel_id)""",
 )
 def score_search(spark, folder):
-    """All searches scored by a model trained on all leads, and whether each score is sound."""
+    """All searches scored by a model trained on all leads, and whether the forest and its SQL agree."""
     model = _value_model(spark, folder)
-    scored = flows.score_searches(
-        standins.searches(spark, folder), model.support, model.forest
-    )
-    sound = F.col("prediction").isin(0, 1) & _share("probability")
-    return scored.select("search_id", "hotel_id", sound.alias("sound"))
+    known = broadcast_if_small(model.support)
+    matrix = value.score_matrix(_searches(spark, folder), known)
+    return _both_ways(model, matrix, stays.SEARCH).select("search_id", "hotel_id", "same")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from staylens.operators import forest, value
+from staylens.operators import forest_table, value
 from staylens.operators.hotels import SUPPORT_COLUMNS
 from staylens.operators.joins import broadcast_if_small
 from staylens.operators.stays import SEARCH, search_features
@@ -18,7 +18,7 @@ from staylens.operators.stays import SEARCH, search_features
 def score_stream(
     searches: DataFrame,
     support: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | forest_table.ForestSql,
     event_time: str,
     delay: str = "1 hour",
     out_of_range: str = "error",
@@ -27,4 +27,4 @@ def score_stream(
     once = searches.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["search_id"])
     known = broadcast_if_small(support.select(*SUPPORT_COLUMNS))
     matrix = value.score_matrix(search_features(once, dedupe=False), known)
-    return forest.score(model, matrix, SEARCH, out_of_range=out_of_range)
+    return forest_table.score_with(model, matrix, SEARCH, out_of_range)

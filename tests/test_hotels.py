@@ -229,9 +229,32 @@ def test_whole_flow_scores_every_known_search(spark):
         standins.leads(spark, folder), k=8,
     )
     searches = standins.searches(spark, folder)
-    scored = flows.score_searches(searches, model.support, model.forest)
+    scored = flows.score_searches(searches, model.support, model.compiled)
+    fitted = flows.score_searches(searches, model.support, model.forest)
+    assert scored.columns == fitted.columns
+    one, other = (s.withColumn("probability", F.round("probability", 9)) for s in (scored, fitted))
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
     known = searches.filter("room_description is not null")
     assert scored.select("search_id").distinct().count() == known.select("search_id").distinct().count()
     error = forest.error_rate(model.held_out).first()["test_error"]
     share = model.held_out.agg(F.avg("gooddeal")).first()[0]
     assert error < min(share, 1 - share)
+
+
+def test_training_leaves_only_what_it_returns(spark):
+    from pathlib import Path
+
+    from staylens.session import shared_folder
+    from staylens.sources import standins
+
+    folder = "/root/testdata/sf0.001"
+    written = Path(shared_folder(spark).removeprefix("file:")) / "staylens"
+    before = set(written.iterdir()) if written.exists() else set()
+    model = flows.train_value_model(
+        standins.places(spark, folder), standins.hotels(spark, folder),
+        standins.leads(spark, folder), k=8,
+    )
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(written.iterdir()) - before)
+    assert left == ["cluster-tree", "support", "train-matrix"]
+    assert model.held_out.count() > 0 and model.support.count() > 0
+    assert model.clusters.leaves().count() > 4
