@@ -1,8 +1,8 @@
 """Cluster means from stored partial sums: a new day of leads does not read the days before.
 
-Leads are summed once by day and hotel into a table (day, hotel_id, usd, leads), stored in a folder for each day.
-A day that is written again, because leads came late or were corrected, takes the place of what was there. The
-mean of a cluster is the sum over the days and hotels of it, so clusters can be fitted anew, or days left out,
+Leads are summed once by day and hotel into a table (day, hotel_id, usd, leads), stored in a folder for each day,
+or for each week, month or year where days are many and small. Such a period that is written again, because leads
+came late or were corrected, takes the place of what was there. The mean of a cluster is the sum over the days and hotels of it, so clusters can be fitted anew, or days left out,
 without touching a lead. Leads without a day stand under their own null day; a null price counts in no sum.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from staylens.operators.stays import LEAD, stay_id
 from staylens.operators.value import gooddeal, matrix_features
 
-PARTIALS = "hotel_id bigint, usd double, leads bigint, day date"
+PARTIALS = "hotel_id bigint, usd double, leads bigint, day date, period date"
 
 
 def day_sums(leads: DataFrame, day: str) -> DataFrame:
@@ -24,18 +24,20 @@ def day_sums(leads: DataFrame, day: str) -> DataFrame:
     )
 
 
-def store_days(leads: DataFrame, day: str, path: str) -> None:
-    """Write the sums of the days that ``leads`` hold; other days of the table stay as they are.
+def store_days(leads: DataFrame, day: str, path: str, period: str = "day") -> None:
+    """Write the sums of the periods that ``leads`` hold; others of the table stay as they are.
 
-    ``leads`` must hold whole days. The leads are read once.
+    ``period`` is day, week, month or year; ``leads`` must hold whole ones. The leads are read once.
     """
-    sums = day_sums(leads, day).select("hotel_id", "usd", "leads", "day")
-    writer = sums.repartition("day", F.pmod("hotel_id", F.lit(16))).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    begin = F.col("day") if period == "day" else F.trunc("day", period)
+    sums = day_sums(leads, day).select("hotel_id", "usd", "leads", "day", begin.alias("period"))
+    # By range, so that a period lies in few files and a large one spreads over several tasks.
+    writer = sums.repartitionByRange("period", "day", "hotel_id").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
 
 
 def stored_days(spark: SparkSession, path: str) -> DataFrame:
-    """The stored sums; a filter on ``day`` reads those folders alone."""
+    """The stored sums; a filter on ``period`` reads those folders alone."""
     return spark.read.schema(PARTIALS).parquet(path)
 
 

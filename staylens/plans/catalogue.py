@@ -3,6 +3,7 @@
 from staylens.plans import (  # noqa: F401
     booking_queries,
     content_queries,
+    growing_queries,
     rating_queries,
     value_queries,
 )

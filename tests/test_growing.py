@@ -48,11 +48,22 @@ def test_labels_from_stored_days(spark, tmp_path):
         assert len(got) == second.count()
         assert all(got[k] == expected[k] for k in got)
         assert found.columns == full.columns
-    one_day = sums.filter("day = '2024-01-05'")
-    assert "PartitionFilters: [isnotnull(day" in one_day._jdf.queryExecution().executedPlan().toString()
+    one_day = sums.filter("period = '2024-01-05'")
+    assert "PartitionFilters: [isnotnull(period" in one_day._jdf.queryExecution().executedPlan().toString()
     assert one_day.agg(F.sum("leads")).first()[0] == second.filter("day = '2024-01-05' and effUSD is not null").count()
 
 
+def test_months_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "sums")
+    leads = staged(day_leads(spark, 5, range(20, 45)), "leads")
+    value_partials.store_days(leads, "day", path, period="month")
+    value_partials.store_days(leads.filter("month(day) = 2"), "day", path, period="month")
+    sums = value_partials.stored_days(spark, path)
+    assert sorted(str(r.period) for r in sums.select("period").distinct().collect()) == ["2024-01-01", "2024-02-01"]
+    expected = rows_of(value_partials.day_sums(leads, "day"), "day", "hotel_id", "leads")
+    assert rows_of(sums, "day", "hotel_id", "leads") == expected
+
+
 def words(rng, n):
     return " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", f"rare{rng.randint(0, 40)}"]) for _ in range(n))
 
