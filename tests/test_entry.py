@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 COUNT = """
@@ -32,6 +34,7 @@ def test_main_queries_stand_alone():
     assert found.split(" ", 1)[1] == "True False []"
 
 
+@pytest.mark.skipif(not (ROOT / "staylens" / "llm").exists(), reason="the part is taken out")
 def test_a_missing_library_leaves_the_main_queries():
     found = run("sys.modules['xxhash'] = None")
     count, rest = found.split(" ", 1)
