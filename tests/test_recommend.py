@@ -1,11 +1,14 @@
 """Ratings, recommender, content and affinity."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from staylens.functions import text
-from staylens.operators import content, ratings, recommender
+from staylens.operators import content, joins, ratings, recommender
 from staylens.operators.affinity import user_feature_affinity
+from staylens.session import Workspace
 from staylens.sources import files
 
 RATING = "user bigint, item int, rating double"
@@ -206,3 +209,38 @@ def test_affinity_golden_and_linear(spark, texts):
     assert found == pytest.approx({(1, "a"): 3.243721, (1, "b"): 0.0, (1, "c"): 0.810930}, abs=1e-6)
     twice = user_feature_affinity(known.withColumn("rating", F.col("rating") * 2), weights)
     assert {(r["user"], r["feature"]): r["affinity"] / 2 for r in twice.collect()} == pytest.approx(found)
+
+
+def test_words_of_distinct_items_are_counted_without_a_shuffle(spark):
+    rows = [(1, "a b a", "x"), (2, None, "x"), (3, "", "y"), (4, " C  c\tb ", "y")]
+    texts = spark.createDataFrame(rows, "item long, text string, lang string")
+    found = content.term_frequency(texts, carry=["lang"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = [(1, "x", "a", 2), (1, "x", "b", 1), (4, "y", "b", 1), (4, "y", "c", 2)]
+    assert sorted(map(tuple, found.collect())) == expected
+    blank = content.term_frequency(texts.filter("item = 4"), keep_blank=True).collect()
+    assert {(r["feature"], r["tf"]) for r in blank} == {("", 2), ("c", 2), ("b", 1)}
+    # Rows of one item meet.
+    twice = content.term_frequency(texts.unionByName(texts)).collect()
+    assert sorted(map(tuple, twice)) == [(i, f, 2 * n) for i, _, f, n in expected]
+
+
+def test_weights_of_chosen_items_store_no_other_words(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "d e f g")], "item long, text string")
+    with Workspace(spark) as work:
+        found = content.tfidf_long(texts, items=texts.filter("item = 1").select("item"))
+        stored = {p.split("/")[-1][: -33]: spark.read.parquet(p).count() for p in work.paths}
+        assert stored == {"chosen-items": 1, "term-frequency": 2, "word-weights": 2}
+        assert {(r["feature"], round(r["tfidf"], 6)) for r in found.collect()} == {
+            ("a", round(2 * math.log(4 / 2), 6)), ("b", round(math.log(4 / 3), 6)),
+        }
+
+
+def test_word_counts_keep_to_their_row_in_large_batches(spark):
+    n = F.col("id")
+    texts = spark.range(4000, numPartitions=1).select(
+        n.alias("item"), F.concat_ws(" ", *(F.concat(F.lit(c), (n % k).cast("string")) for c, k in
+                                            (("a", 7), ("b", 900), ("c", 4000), ("b", 900)))).alias("text")
+    )
+    plain = content.token_explode(texts).groupBy("item", "feature").agg(F.count("*").alias("tf"))
+    assert rows(content.term_frequency(texts)) == rows(plain)
