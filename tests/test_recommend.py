@@ -236,6 +236,21 @@ def test_weights_of_chosen_items_store_no_other_words(spark):
         }
 
 
+@pytest.mark.parametrize("limit", [10 * 1024 * 1024, 1000, 100])
+def test_affinity_moves_ratings_and_not_products(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "broadcast_limit", lambda _: limit)
+    n = F.col("id")
+    known = spark.range(600).select((n % 20).alias("user"), (n % 30).alias("item"), (n * 1.0).alias("rating"))
+    weights = spark.range(60).select(
+        (n % 40).alias("item"), F.concat(F.lit("w"), (n % 7).cast("string")).alias("feature"), (n / 2).alias("tfidf")
+    )
+    found = user_feature_affinity(known, weights)
+    plain = known.join(weights, "item").groupBy("user", "feature").agg(F.sum(F.col("rating") * F.col("tfidf")).alias("x"))
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == {(r[0], r[1]): r[2] for r in plain.collect()}
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("RepartitionByExpression" in joined) == (limit > 100)
+
+
 def test_word_counts_keep_to_their_row_in_large_batches(spark):
     n = F.col("id")
     texts = spark.range(4000, numPartitions=1).select(
