@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.operators import joins, ratings, stays, value
+from staylens.operators import clusters, joins, ratings, stays, value
 from staylens.operators.affinity import user_feature_affinity
+from staylens.plans import value_queries
 from staylens.plans.catalogue import QUERIES
 from staylens.session import fresh_path
 from staylens.sources import standins
@@ -172,3 +173,12 @@ def test_sorted_limit_is_a_top_n(spark):
 def test_no_all_pairs_join(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["kmeans_cost", "kmeans_model_files"])
+def test_plain_clusters_are_as_many_as_the_hotels_ask_for(spark, monkeypatch, name):
+    asked, train = [], clusters.train_clusters
+    monkeypatch.setattr(clusters, "train_clusters", lambda *a, **k: asked.append(k["k"]) or train(*a, **k))
+    QUERIES[name](spark, FOLDER)
+    hotels = standins.table(spark, FOLDER, "part").count()
+    assert asked == [hotels // value_queries.HOTELS_PER_CLUSTER] and asked[0] > 4
