@@ -169,3 +169,23 @@ def test_groups_that_no_task_could_hold(spark):
             assert sum(m.weight for m in nodes if m.parent == n.node) == weights[n.node]
     leaves = sum(n.leaf for n in nodes)
     assert 0.6 * 150 <= leaves <= 1.4 * 150
+
+
+def test_few_centres_are_compared_in_batches(spark):
+    """Lists small enough to broadcast are compared by arrays, not by a lambda over the list of each row."""
+    rows = [(i, float(i % 7), float(i % 11)) for i in range(80)] + [(90, None, 1.0), (91, float("nan"), 2.0)]
+    points = spark.createDataFrame(rows, "hotel_id long, x double, y double")
+    tree = cluster_tree.fit_tree(points.filter("hotel_id < 90"), XY, k=40, max_iterations=3)
+    found = cluster_tree.assign_tree(tree, points)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == tree.depth
+    was = cluster_tree.fits_broadcast
+    cluster_tree.fits_broadcast = lambda centres: False
+    try:
+        joined = cluster_tree.assign_tree(tree, points).collect()
+    finally:
+        cluster_tree.fits_broadcast = was
+    assert sorted((r.hotel_id, r.cluster_id) for r in found.collect() if r.cluster_id is not None) == sorted(
+        (r.hotel_id, r.cluster_id) for r in joined if r.cluster_id is not None
+    )
+    assert [r.hotel_id for r in joined if r.cluster_id is None] == [90]
