@@ -108,3 +108,14 @@ def test_a_forest_of_single_leaves(spark):
         (r.prediction, r.probability) for r in forest.score(model, rows, "lead").collect()
     }
     assert {r.importance for r in forest_table.importances(nodes).collect()} == {0.0}
+
+
+def test_walking_moves_nothing(spark, fitted):
+    """All trees are walked on the row: no join, no copy of a row for each tree, equal ids stay apart."""
+    rows, _, nodes = fitted
+    ready = forest.prepared(rows, "lead").select("lead_id", *forest.model_inputs("lead").values())
+    twice = ready.unionByName(ready)
+    walked = forest_table.walk(nodes, twice, ["lead_id"], forest.DEPTH)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Exchange", "Generate", "Aggregate"))
+    assert walked.count() == 2 * rows.count()
