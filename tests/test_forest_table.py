@@ -119,3 +119,15 @@ def test_walking_moves_nothing(spark, fitted):
     plan = walked._jdf.queryExecution().executedPlan().toString()
     assert not any(step in plan for step in ("Join", "Exchange", "Generate", "Aggregate"))
     assert walked.count() == 2 * rows.count()
+
+
+def test_fitting_holds_few_rows_in_a_task(spark):
+    """A matrix in one task's files is read by as many tasks as its rows ask for; the setting is put back."""
+    name = "spark.sql.files.minPartitionNum"
+    one = spark.range(1000).repartition(1)
+    table = staged(one, "fit-rows", rows_per_file=50)
+    before = spark.conf.get(name, None)
+    with forest._cut_finer(spark, 20):
+        sizes = table.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 1000 and max(sizes) <= 50
+    assert spark.conf.get(name, None) == before
