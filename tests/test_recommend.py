@@ -259,3 +259,15 @@ def test_word_counts_keep_to_their_row_in_large_batches(spark):
     )
     plain = content.token_explode(texts).groupBy("item", "feature").agg(F.count("*").alias("tf"))
     assert rows(content.term_frequency(texts)) == rows(plain)
+
+
+def test_hashed_words_are_looked_up_once(spark):
+    """Weights and values of buckets read the words of a bucket as written, without another split or hash."""
+    texts = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "item long, text string")
+    found = content.hashed_tfidf(texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "split" not in plan
+    assert sorted((r.item, r.feature, r.tf) for r in found.collect()) == [(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 1)]
+    vectors, _ = content.hashed_vectors(texts)
+    again = {(r.item, int(i)): float(v) for r in vectors.collect() for i, v in zip(r.features.indices, r.features.values)}
+    assert all(abs(again[r["item"], r["index"]] - r["value"]) < 1e-12 for r in found.collect())
