@@ -19,7 +19,8 @@ smallest) if that has ``RATIO`` times its own; occurrences grow along forms, so
 
 A null text has no words, a null id is the empty text in the crc32. Rows are documents: copies and rows of equal ids
 count each. Nodes deeper than ``DEEP`` are known by a digest chained along the word, so a word of m code
-points takes work in proportion to m. Without words there are no rows. Only the id and the text are read, so
+points takes work in proportion to m. Both sides of every join are words or their nodes, so they shuffle: Spark sizes
+the nodes by the file of their words and would broadcast them. Without words there are no rows. Only the id and the text are read, so
 other columns may have any name.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import filled, let
+from staylens.operators.joins import merged
 from staylens.session import staged
 
 # What words are made of, and which of them count.
@@ -137,7 +139,7 @@ def numbered_paths(words: DataFrame) -> DataFrame:
         return F.concat(F.array(F.lit(0).cast("long")), ordered)
 
     return (
-        steps.join(nodes, ["trie", "key"])
+        merged(steps).join(nodes, ["trie", "key"])
         .groupBy("id")
         .agg(path(0).alias("forward"), path(1).alias("backward"))
     )
@@ -179,7 +181,7 @@ def node_pairs(words: DataFrame) -> DataFrame:
         return F.concat(whole, skipping)
 
     paths = numbered_paths(words)
-    return words.join(paths, "id").select(F.inline(let(F.split("word", ""), pairs)))
+    return merged(words).join(paths, "id").select(F.inline(let(F.split("word", ""), pairs)))
 
 
 def met(pairs: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def with_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """Per word: ``word``, ``n``, ``n_near``, ``form`` and its ``form_n``."""
     near = met(node_pairs(words)).groupBy("id").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
     taken = -F.col("best.rank") >= ratio * F.col("n")
-    return words.join(near, "id", "left").select(
+    return words.join(merged(near), "id", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -246,7 +248,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         ahead = current.select(F.col("word").alias("at"), F.col("root").alias("further"))
         step = staged(
-            current.join(ahead, F.col("root") == F.col("at"), "left").select(
+            current.join(merged(ahead), F.col("root") == F.col("at"), "left").select(
                 "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")
             ),
             "spelling-roots",
@@ -268,6 +270,6 @@ def variants(
     counted = word_counts(docs, id_column, text, least, count)
     words = staged(counted.withColumn("id", F.monotonically_increasing_id()), "spelling-words")
     forms = staged(with_forms(words, ratio), "spelling-forms")
-    return forms.join(roots(forms), "word", "left").select(
+    return forms.join(merged(roots(forms)), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

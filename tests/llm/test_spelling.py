@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from staylens.llm import spelling
+from staylens.session import staged
 
 LOWER = str.maketrans(spelling.UPPER, spelling.LOWER)
 CLASH = ", ".join(f"{c} int" for c in ("id", "word", "n", "run", "node", "prefix", "best", "root"))
@@ -115,6 +117,20 @@ def test_very_long_words(spark):
     assert found_rows(spelling.variants(frame(spark, rows))) == plain_variants(words, 5)
 
 
+def test_nodes_are_not_broadcast(spark):
+    """Spark sizes the nodes by the words they are made from; at any size both sides of a join shuffle."""
+    rows = [(i, "centre centra central centrale") for i in range(20)]
+    words = staged(
+        spelling.word_counts(frame(spark, rows)).withColumn("id", F.monotonically_increasing_id()), "words"
+    )
+    forms = staged(spelling.with_forms(words), "forms")
+    for out in (spelling.numbered_paths(words), spelling.with_forms(words), spelling.roots(forms), spelling.variants(frame(spark, rows))):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan
+    assert found_rows(out) == plain_variants(plain_words(rows, 6, 5), 5)
+
+
 def test_no_words(spark):
     assert found_rows(spelling.variants(frame(spark, []))) == set()
     assert found_rows(spelling.variants(frame(spark, [(1, None), (2, "a b c"), (3, "sixlet" * 4)]))) == set()
