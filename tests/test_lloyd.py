@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from staylens.operators import clusters, lloyd, nearest
+from staylens.plans.catalogue import QUERIES
 from staylens.session import staged
 
 XYZ = ["x", "y", "z"]
@@ -104,3 +105,13 @@ def test_more_clusters_than_rows(spark, tmp_path):
     assert one.exceptAll(other).isEmpty() and one.groupBy("cluster_id").count().count() == 31
     with pytest.raises(ValueError, match="no rows"):
         clusters.train_clusters(points.limit(0), XYZ, k=3)
+
+
+def test_cost_query_tells_a_wrong_sum_of_distances(spark, monkeypatch):
+    """The reference's cost is the sum of distances, not of their squares alone."""
+    folder = "/root/testdata/sf0.001"
+    assert QUERIES["kmeans_cost"](spark, folder).collect() == [(200, True, True)]
+    cost = clusters.cluster_cost
+    for name, expected in (("sum_distance", (200, True, False)), ("sum_squared", (200, False, False))):
+        monkeypatch.setattr(clusters, "cluster_cost", lambda *a, c=name: cost(*a).withColumn(c, F.col(c) * 1.1))
+        assert QUERIES["kmeans_cost"](spark, folder).collect() == [expected]
