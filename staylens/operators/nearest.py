@@ -53,6 +53,8 @@ class CentreTree:
         if np.isnan(points).any():
             raise ValueError("a row with a null or nan has no nearest centre")
         found = np.empty(len(points), np.int64)
+        if not len(points):
+            return found
         boxes = self.boxes(points)
         order = np.argsort(boxes, kind="stable")
         edges = np.flatnonzero(np.diff(boxes[order], prepend=-1))

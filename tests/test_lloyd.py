@@ -38,6 +38,7 @@ def test_nearest_is_that_of_all(name, points, centres):
     # Whatever rows stand beside them.
     some = nearest.centre_tree(centres).nearest(points[::7])
     assert (some == of_all(points[::7], centres)).all()
+    assert len(nearest.centre_tree(centres).nearest(points[:0])) == 0
 
 
 def test_few_centres_are_compared(monkeypatch):
